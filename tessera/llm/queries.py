@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, url_filters
+from . import fingerprints, language_model, mixing, near_dedup, packing, quality_classifier, quality_rules, token_counts, toxicity, url_filters
 
-_MODULES = (url_filters, packing, fingerprints, quality_rules, near_dedup, quality_classifier, mixing, token_counts)
+_MODULES = (url_filters, packing, fingerprints, quality_rules, near_dedup, quality_classifier, mixing, language_model, toxicity, token_counts)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
