@@ -41,27 +41,29 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     return s.select("source", "source_size", F.least("cap", F.max("level").over(everything) * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """``docs(doc_id, text, source)`` to ``doc_id, source, size, source_size, target, taken, copies``.
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"), _hash("doc_id").alias("h"))
 
-    Each document is taken floor(target / source_size) times, and once more if
-    its hash is within its source's threshold; the last hash value is in if that
-    brings the source nearer to its target. Null texts have size 0; null sources
-    are one source of their own, last; null ids share one hash; equal ids of a
-    source are taken alike, and every repeated row is kept. A source of size 0
-    has target 0. An empty table gives an empty result. Other columns are ignored.
+
+def _small(df: DataFrame, sources: int) -> DataFrame:
+    """A table of one row for each source, sent to every task if they are few."""
+    return F.broadcast(df) if sources <= BROADCAST_SOURCES else df
+
+
+def thresholds(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, int]:
+    """``rows(source, size, h)`` to ``s, source_size, target, all_copies, threshold``, and the number of sources.
+
+    Each document of the source is taken ``all_copies`` times, and once more if
+    its hash is no larger than the threshold.
     """
-    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(common.WORD)).cast("long").alias("size"), _hash("doc_id").alias("h"))
-    rows = common.materialise(rows, "sizes")
     goal = common.materialise(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    many = goal.count() > BROADCAST_SOURCES
-    small = (lambda df: df) if many else F.broadcast
+    n = goal.count()
     goal = goal.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size"))
     # at each level: the words before the boundary bucket, and the bucket's number
     edge = goal.select(F.col("source").alias("s"), "rest", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("bucket"))
     for left in range(BITS - STEP, -1, -STEP):
-        inside = rows.join(small(edge), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", left + STEP) == F.col("bucket")))
+        inside = rows.join(_small(edge, n), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", left + STEP) == F.col("bucket")))
         sums = inside.groupBy("s", F.shiftright("h", left).alias("b")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         upto = F.col("before") + F.sum("n").over(Window.partitionBy("s").orderBy("b"))
         edge = sums.withColumn("upto", upto).where("upto > rest").groupBy("s", "rest").agg(F.min(F.struct("b", "upto", "n")).alias("m"))
@@ -69,12 +71,40 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
         edge = common.materialise(edge, "edge")
     nearer = F.col("upto") - F.col("rest") < F.col("rest") - F.col("before")
     edge = edge.select("s", F.when(nearer, F.col("bucket")).otherwise(F.col("bucket") - 1).alias("threshold"))
-    goal = goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", F.col("copies").alias("all_copies"), F.coalesce("threshold", F.lit(2**BITS)).alias("threshold"))
-    out = rows.join(small(goal), F.col("source").eqNullSafe(F.col("s")))
-    copies = F.least(F.col("all_copies") + (F.col("h") <= F.col("threshold")).cast("long"), F.lit(int(most)))
+    goal = goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
+    return goal.select(F.col("source").alias("s"), "source_size", "target", F.col("copies").alias("all_copies"), F.coalesce("threshold", F.lit(2**BITS)).alias("threshold")), n
+
+
+def _copies(h, most: float):
+    return F.least(F.col("all_copies") + (h <= F.col("threshold")).cast("long"), F.lit(int(most)))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """``docs(doc_id, text, source)`` to ``doc_id, source, size, source_size, target, taken, copies``.
+
+    Each document is taken floor(target / source_size) times, and once more if
+    its hash is within its source's threshold; the last hash value is in if that
+    brings the source nearer to its target. Null texts have size 0; null sources
+    are one source of their own, last; null ids share one hash; equal ids of a
+    source are taken alike, and every repeated row is kept. A source of size 0
+    has target 0. An empty table gives an empty result. Other columns are ignored.
+    """
+    rows = common.materialise(_sized(docs), "sizes")
+    goal, n = thresholds(rows, weights, share, most)
+    out = rows.join(_small(goal, n), F.col("source").eqNullSafe(F.col("s")))
+    copies = _copies(F.col("h"), most)
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
+def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it."""
+    goal, n = thresholds(common.materialise(_sized(docs), "sizes"), weights, share, most)
+    goal = goal.select(*(F.col(c).alias(f"__mix_{c}") for c in ("s", "all_copies", "threshold")))
+    copies = F.least(F.col("__mix_all_copies") + (_hash("doc_id") <= F.col("__mix_threshold")).cast("long"), F.lit(int(most)))
+    out = docs.join(_small(goal, n), F.col("source").eqNullSafe(F.col("__mix_s")))
+    return out.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*docs.columns)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -20,7 +20,9 @@ from . import common
 
 COLLECTIONS, ROWS = 16, 3
 #: Members of a bucket that are compared with all its others in one round.
-HUBS = 32
+HUBS = 512
+#: 64-bit words of a set's parity bitmap.
+BITMAP = 8
 
 
 def _constants(n: int, name: str) -> np.ndarray:
@@ -87,6 +89,20 @@ def collections_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Each element flips one bit, so two bitmaps differ in no more bits than the sets do in elements."""
+    bits = np.bincount((s >> np.uint64(33)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).view("<u8")
+
+
+def possible(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
+    """False only where sizes or bitmaps rule out a Jaccard similarity of ``percent``: a matrix of all n by all m."""
+    total = n[:, None] + m[None, :]
+    fits = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
+    apart = np.bitwise_count(bits[:, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
+    return fits & ((100 + percent) * (total - apart) >= 2 * percent * total)
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -106,7 +122,8 @@ def _sketch(width: int):
                     for i in full:
                         d1[i], d2[i] = sets[i].sum(dtype=np.uint64), _mix(sets[i] ^ _A[0]).sum(dtype=np.uint64)
                 raw = [x.astype("<u8").tobytes() for x in sig]
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), _signed(d1), _signed(d2), pa.array(raw, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig"])
+                bits = [bitmap(x).tobytes() for x in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(sizes), _signed(d1), _signed(d2), pa.array(raw, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "sig", "bits"])
 
     return run
 
@@ -143,27 +160,43 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(h)], ["key", "rep", "hub"])
 
 
-def _cross(hubs: int):
-    """Rows by (key, members of the component in the key, component, rep): pairs of each of the first ``hubs`` rows with later rows of other components.
+def _by_key(batches, columns: list[str]):
+    """Runs of rows with one key, as arrays, at most one batch long each."""
+    for b in batches:
+        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype="<u8").reshape(-1, BITMAP)
+        edges = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(bits)]
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if hi > lo:
+                yield [c[lo:hi] for c in cols], bits[lo:hi]
 
-    A key has at most ``hubs`` rows before the rest, so memory is bounded for any bucket.
+
+def _cross(hubs: int, percent: int):
+    """Rows by (key, members of the component in the key, component, rep): pairs of the first ``hubs`` rows with rows of other components that may be linked.
+
+    A key's first ``hubs`` rows are held for the rest of it, so memory is bounded for any bucket.
     """
 
     def run(batches):
-        now, first = None, []
-        for b in batches:
-            a, c = [], []
-            for key, comp, rep in zip(b.column("key").to_pylist(), b.column("component").to_pylist(), b.column("rep").to_pylist(), strict=True):
-                if key != now:
-                    now, first = key, []
-                for hc, hr in first:
-                    if hc != comp:
-                        a.append(min(hr, rep))
-                        c.append(max(hr, rep))
-                if len(first) < hubs:
-                    first.append((comp, rep))
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
+        now = None
+        for (key, comp, rep, n), bits in _by_key(batches, ["key", "component", "rep", "n_shingles"]):
+            if key[0] != now:
+                now = key[0]
+                h = [comp[:0], rep[:0], n[:0], bits[:0]]
+            room = hubs - len(h[0])
+            if room > 0:
+                h = [np.concatenate([x, y[:room]]) for x, y in zip(h, (comp, rep, n, bits), strict=True)]
+            out_a, out_b = [], []
+            for lo in range(0, len(rep), 256):
+                part = slice(lo, lo + 256)
+                fits = possible(h[2], h[3], n[part], bits[part], percent) & (h[0][:, None] != comp[part][None, :])
+                i, j = np.nonzero(fits)
+                x, y = h[1][i], rep[part][j]
+                out_a.append(np.minimum(x, y))
+                out_b.append(np.maximum(x, y))
+            a, c = np.concatenate(out_a), np.concatenate(out_b)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
 
     return run
 
@@ -210,18 +243,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
     rounds verify, in every bucket whose members are still in different
     components, up to ``hubs`` members of its smaller components against all
     others there, and repeat with the next members until every pair of a bucket
-    has met or shares a component. No bucket is capped, and none is expanded
+    has met or shares a component. Sizes and parity bitmaps spare the
+    verification of pairs that they prove to be too far apart. No bucket is capped, and none is expanded
     into all its pairs where components already join them.
     """
-    base = common.materialise(docs.select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, sig binary"), "sketches")
+    base = common.materialise(docs.select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bits binary"), "sketches")
     full = base.where("n_shingles > 0 and doc_id is not null")
-    reps = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    reps = full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bits").alias("bits"))
     reps = common.materialise(reps, "classes")
     keyed = reps.select("rep", "sig").mapInArrow(_keys, "key long, rep long").repartition("key").sortWithinPartitions("key", "rep")
     shared = common.materialise(keyed.mapInArrow(_shared, "key long, rep long, hub long"), "buckets")
 
     member = shared.select("rep").distinct()
-    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").join(member, "rep", "left_semi")
+    own = docs.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text").join(member.hint("merge"), "rep", "left_semi")
     sets = common.materialise(own.mapInArrow(_sets(width), "rep long, set binary"), "sets")  # an id repeated with other texts has a set for each
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -243,9 +277,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
         here = common.materialise(here, "waiting")
         parts = here.groupBy("key", "component").agg(F.count("*").alias("n"))
         open_keys = parts.groupBy("key").agg(F.count("*").alias("c"), (F.sum("n") - F.max("n")).alias("outside")).where("c > 1")
-        rows = here.join(parts, ["key", "component"]).join(open_keys, "key").select("key", "n", "component", "rep", "outside")
-        rows = common.materialise(rows, "open")
-        pairs = rows.select("key", "n", "component", "rep").repartition("key").sortWithinPartitions("key", "n", "component", "rep").mapInArrow(_cross(hubs), "a long, b long").distinct()
+        rows = here.join(parts, ["key", "component"]).join(open_keys, "key").join(reps.select("rep", "n_shingles", "bits"), "rep")
+        rows = common.materialise(rows.select("key", "n", "component", "rep", "n_shingles", "bits", "outside"), "open")
+        dealt = rows.repartition("key").sortWithinPartitions("key", "n", "component", "rep")
+        pairs = dealt.mapInArrow(_cross(hubs, percent), "a long, b long").distinct()
         pairs = common.materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty() and rows.where(F.col("outside") > hubs).isEmpty():
             break
@@ -254,8 +289,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
         if rows.where(F.col("outside") > hubs).isEmpty():
             comps = common.connected_components(tested.where("linked").select("a", "b").union(extra))
             break
-        served = _served(rows, hubs)
-        waiting = common.materialise(rows.where(F.col("outside") > hubs).select("key", "rep").join(served, ["key", "rep"], "left_anti"), "waiting")
+        waiting = common.materialise(rows.where(F.col("outside") > hubs).repartition("key").sortWithinPartitions("key", "n", "component", "rep").mapInArrow(_unserved(hubs), "key long, rep long"), "waiting")
         links = tested.where("linked").select("a", "b").union(extra)
     named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     # ids join whole components: an id's component is the least of its classes'
@@ -266,8 +300,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _served(rows: DataFrame, hubs: int) -> DataFrame:
-    """The members that were hubs of their key in this round."""
+def _unserved(hubs: int):
+    """The rows after the first ``hubs`` of each key."""
 
     def run(batches):
         now, k = None, 0
@@ -276,10 +310,10 @@ def _served(rows: DataFrame, hubs: int) -> DataFrame:
             for key in b.column("key").to_pylist():
                 k = k + 1 if key == now else 1
                 now = key
-                keep.append(k <= hubs)
+                keep.append(k > hubs)
             yield b.select(["key", "rep"]).filter(pa.array(keep, pa.bool_()))
 
-    return rows.select("key", "n", "component", "rep").repartition("key").sortWithinPartitions("key", "n", "component", "rep").mapInArrow(run, "key long, rep long")
+    return run
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

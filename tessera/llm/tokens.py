@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
 import os
 import re
+import sys
 
 #: A plain space before a non-space starts a new pre-token of byte-level BPE, whatever stands before it.
 _CUT = re.compile(r" (?=\S)")
-_EOS = (2).to_bytes(4, "little")
+#: A space-led word of Latin letters is one pre-token, and marks after it are another. The marks leave out <, | and >, of which special tokens are made.
+_WORD = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,!?;:*%&$#]*)")
+#: Characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from U+0100.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+def _pack(ids: list[int]) -> bytes:
+    a = array.array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
 
 
 def default_path() -> str:
@@ -44,13 +57,17 @@ class Encoder:
     """Ids by the library of the file; for plain byte-level BPE, ids of each space-led piece are kept for reuse.
 
     Cutting there cannot change ids: no pre-token of the pattern runs over such
-    a place, there is no normaliser, and no added token holds a space. Any other
-    file is encoded text by text. The cache is emptied at ``most`` pieces.
+    a place, there is no normaliser, and no added token holds a space. A missing
+    piece that is a plain word and marks is put together from the two, the word
+    by the library's model alone as it is one pre-token. Any other file is
+    encoded text by text. Beyond ``most`` pieces, those not
+    used since half as many came are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.most, self.pieces, self.sizes = most, {}, {}
+        self.most = most
+        self.kept: dict[object, tuple[dict, dict]] = {_pack: ({}, {}), len: ({}, {})}  # recent and older values of pieces
         self.model = path.endswith(".model")
         if self.model:
             import sentencepiece
@@ -70,6 +87,8 @@ class Encoder:
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
             and spec.get("normalizer") is None
+            and spec["model"].get("type") == "BPE"
+            and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         )
 
@@ -78,8 +97,8 @@ class Encoder:
             return [list(x) for x in self.lib.encode(texts, num_threads=1)]
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, texts: list[str], known: dict, value) -> list[list[list[str]]]:
-        """Pieces of each section of each text; afterwards ``known`` has a value for each piece."""
+    def _parts(self, texts: list[str], value) -> tuple[list[list[list[str]]], dict]:
+        """Pieces of each section of each text, and the value of each piece."""
         cut = [[_CUT.split(s) for s in _sections(t)] for t in texts]
         need = set()
         for sections in cut:
@@ -89,31 +108,46 @@ class Encoder:
                 else:
                     p[0] = " " + p[0]  # a text's own start; other pieces never begin with a space
                 need.update(p)
+        if len(self.kept[value][0]) > self.most // 2:
+            self.kept[value] = ({}, self.kept[value][0])
+        known, before = self.kept[value]
         fresh = need.difference(known)
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = need
-        fresh = list(fresh)
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at : at + 20_000]
+        again = fresh.intersection(before)
+        known.update(zip(again, map(before.__getitem__, again), strict=True))
+        fresh -= again
+        rest: list[str] = []
+        tails: dict[str, object] = {}
+        model, fits = self.lib.model.tokenize, _WORD.fullmatch
+        for x in fresh:
+            m = fits(x)
+            if m is None:
+                rest.append(x)
+                continue
+            w, mark = m.groups()
+            v = known.get(w)
+            if v is None:
+                v = known[w] = value([t.id for t in model((" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))])
+            if mark:
+                if mark not in tails:
+                    tails[mark] = value(self.raw([mark])[0])
+                known[x] = v + tails[mark]
+        for at in range(0, len(rest), 20_000):
+            some = rest[at : at + 20_000]
             known.update(zip(some, map(value, self.raw([x[1:] if x[:1] == " " else " " + x for x in some])), strict=True))
-        return cut
+        return cut, known
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_piece:
             return [len(x) for t in texts for x in self.raw([t])]
-        get = self.sizes.__getitem__
-        return [sum(sum(map(get, p)) for p in sections) for sections in self._parts(texts, self.sizes, len)]
+        cut, known = self._parts(texts, len)
+        return [sum(sum(map(known.__getitem__, p)) for p in sections) for sections in cut]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
-
-        pack = lambda x: np.asarray(x, dtype="<u4").tobytes()
         if not self.by_piece:
-            return [pack(x) for t in texts for x in self.raw([t])]
-        get = self.pieces.__getitem__
-        return [b"".join([x for p in sections for x in map(get, p)]) for sections in self._parts(texts, self.pieces, pack)]
+            return [_pack(x) for t in texts for x in self.raw([t])]
+        cut, known = self._parts(texts, _pack)
+        return [b"".join([x for p in sections for x in map(known.__getitem__, p)]) for sections in cut]
 
 
 @functools.lru_cache(maxsize=2)
