@@ -316,6 +316,20 @@ def _unserved(hubs: int):
     return run
 
 
+def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of near duplicates, with all its columns: that of the least id.
+
+    Rows with a null id all stay, as do texts without words. Of several rows with one id one stays.
+    """
+    gone = near_duplicates(docs, width, percent).where(~F.col("kept")).select("doc_id").distinct()
+    rows = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if twice.isEmpty():
+        return rows
+    again = rows.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rows.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"), width=2).select("doc_id", "n_shingles", "component_id", "kept")
 
