@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import array
 import functools
+import gc
 import hashlib
 import json
 import os
@@ -64,10 +65,8 @@ class Encoder:
     used since half as many came are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.most = most
-        self.kept: dict[object, tuple[dict, dict]] = {_pack: ({}, {}), len: ({}, {})}  # recent and older values of pieces
         self.model = path.endswith(".model")
         if self.model:
             import sentencepiece
@@ -91,66 +90,88 @@ class Encoder:
             and not any(spec["model"].get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
             and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
         )
+        self.pieces, self.sizes = _Pieces(self.lib, _pack, most), _Pieces(self.lib, len, most)
 
     def raw(self, texts: list[str]) -> list[list[int]]:
         if self.model:
             return [list(x) for x in self.lib.encode(texts, num_threads=1)]
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, texts: list[str], value) -> tuple[list[list[list[str]]], dict]:
-        """Pieces of each section of each text, and the value of each piece."""
-        cut = [[_CUT.split(s) for s in _sections(t)] for t in texts]
-        need = set()
-        for sections in cut:
-            for k, p in enumerate(sections):
-                if k:
-                    del p[0]  # empty: the section begins with the space of its first piece
-                else:
-                    p[0] = " " + p[0]  # a text's own start; other pieces never begin with a space
-                need.update(p)
-        if len(self.kept[value][0]) > self.most // 2:
-            self.kept[value] = ({}, self.kept[value][0])
-        known, before = self.kept[value]
-        fresh = need.difference(known)
-        again = fresh.intersection(before)
-        known.update(zip(again, map(before.__getitem__, again), strict=True))
-        fresh -= again
-        rest: list[str] = []
-        tails: dict[str, object] = {}
-        model, fits = self.lib.model.tokenize, _WORD.fullmatch
-        for x in fresh:
-            m = fits(x)
-            if m is None:
-                rest.append(x)
-                continue
-            w, mark = m.groups()
-            v = known.get(w)
-            if v is None:
-                v = known[w] = value([t.id for t in model((" " + w).encode().decode("latin-1").translate(_BYTE_CHARS))])
-            if mark:
-                if mark not in tails:
-                    tails[mark] = value(self.raw([mark])[0])
-                known[x] = v + tails[mark]
-        for at in range(0, len(rest), 20_000):
-            some = rest[at : at + 20_000]
-            known.update(zip(some, map(value, self.raw([x[1:] if x[:1] == " " else " " + x for x in some])), strict=True))
-        return cut, known
+    def _known(self, text: str, pieces: dict):
+        """The values of a text's pieces, section by section."""
+        for k, section in enumerate(_sections(text)):
+            p = _CUT.split(section)
+            if k:
+                del p[0]  # empty: the section begins with the space of its first piece
+            else:
+                p[0] = " " + p[0]  # a text's own start; other pieces never begin with a space
+            yield map(pieces.__getitem__, p)
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_piece:
             return [len(x) for t in texts for x in self.raw([t])]
-        cut, known = self._parts(texts, len)
-        return [sum(sum(map(known.__getitem__, p)) for p in sections) for sections in cut]
+        return [sum(map(sum, self._known(t, self.sizes))) for t in texts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_piece:
             return [_pack(x) for t in texts for x in self.raw([t])]
-        cut, known = self._parts(texts, _pack)
-        return [b"".join([x for p in sections for x in map(known.__getitem__, p)]) for sections in cut]
+        return [b"".join([x for section in self._known(t, self.pieces) for x in section]) for t in texts]
+
+
+class _Pieces(dict):
+    """Values (id bytes or counts) of pieces, made when asked for; those unused since half of ``most`` others came are forgotten."""
+
+    def __init__(self, lib, value, most: int):
+        super().__init__()
+        self.lib, self.value, self.most, self.older = lib, value, most, {}
+        self.tokenize = lib.model.tokenize
+        self.marks: dict[str, object] = {"": value([])}
+
+    def _word(self, w: str):
+        if w.isascii():
+            w = w.replace(" ", "\u0120")
+        else:
+            w = w.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return self.value([t.id for t in self.tokenize(w)])
+
+    def _marks(self, mark: str):
+        if mark not in self.marks:
+            self.marks[mark] = self.value(self.lib.encode(mark, add_special_tokens=False).ids)
+        return self.marks[mark]
+
+    def _plain(self, piece: str):
+        """The value of words and marks, if the piece is nothing else; lines after the first begin without a space."""
+        out = None
+        for k, line in enumerate(piece.split("\n")):
+            m = _WORD.fullmatch(line)
+            if m is None:
+                return None
+            word, mark = m.groups()
+            if k == 0:
+                out = self.get(word) if mark else None
+                out = self._word(" " + word) if out is None else out
+            else:
+                out = out + self._marks("\n") + self._word(word)
+            if mark:
+                out = out + self._marks(mark)
+        return out
+
+    def __missing__(self, piece: str):
+        v = self.older.get(piece)
+        if v is None:
+            v = self._plain(piece)
+        if v is None:
+            v = self.value(self.lib.encode(piece[1:] if piece[:1] == " " else " " + piece, add_special_tokens=False).ids)
+        if len(self) >= self.most // 2:
+            self.older = dict(self)
+            self.clear()
+        self[piece] = v
+        return v
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and file."""
+    gc.set_threshold(200_000, 20, 20)  # millions of short strings, and no cycles
     return Encoder(path)

@@ -115,3 +115,10 @@ def test_pack(spark, make, odd_texts):
     made = {r.sequence_id: r for r in packing.sequences(docs, packed).collect()}
     assert sum(len(r.ids) // 4 for r in made.values()) == sum(len(b) + 1 for b in brute(texts))
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_every_latin_word_and_mark():
+    letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7)]
+    texts = [" ".join(a + b + m for a, b in zip(letters, letters[k:], strict=False)) for k in (1, 7) for m in ("", ".", "!!", "***,", "$$$\n", "'s")]
+    enc = tokens.encoder(tokens.default_path())
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.ids(texts)] == brute(texts)
