@@ -1 +1,6 @@
+"""Operators on banded matrices."""
 
+from . import elementwise, reductions
+from .matrix import BandMatrix
+
+__all__ = ["BandMatrix", "elementwise", "reductions"]

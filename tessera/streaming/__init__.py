@@ -1 +1 @@
-
+"""Nothing here streams: the engine works on whole matrices."""
