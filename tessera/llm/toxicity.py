@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
 
     def run(batches):
-        for b in batches:
+        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):  # terms take far more room than texts
             keys = [sorted({k for w in set(common.words(t)) for k in term_keys(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("digest"), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "toxic", "digest", "keys"])
 
