@@ -51,11 +51,20 @@ def base_failed(n_words, n_repeat_words, min_words: int = 50, max_repeat: int =
     return (n_words < min_words) | (100 * n_repeat_words > max_repeat * n_words)
 
 
+#: Customary limits of the rules: symbols a word, repeated lines, words in repeated windows, capitals a character, ! and ? a word.
+LIMITS = np.array([0.1, 0.3, 0.4, 0.3, 0.2])
+
+
 def features(stats: np.ndarray) -> np.ndarray:
-    """Rates that don't depend on the length of a text."""
+    """By how much each rate is over its limit.
+
+    Rates don't depend on the length of a text. Texts within all limits are one
+    point, which no split divides, so what the forest isolates is the amount and
+    the mixture of excess and not the ordinary spread of good texts.
+    """
     s = np.asarray(stats, dtype=float).reshape(-1, len(STATS))
     words, chars, lines = (np.maximum(s[:, k], 1) for k in (0, 1, 7))
-    return np.column_stack([s[:, 2] / words, s[:, 3] / lines, s[:, 4] / words, s[:, 5] / chars, s[:, 6] / words])
+    return np.maximum(np.column_stack([s[:, 2] / words, s[:, 3] / lines, s[:, 4] / words, s[:, 5] / chars, s[:, 6] / words]) - LIMITS, 0.0)
 
 
 @dataclass
@@ -115,19 +124,23 @@ def grow(x: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: int
     return Forest(feature, cut, left, path, limit, max(_expected(per_tree), 1.0))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, clean_loss: float = 0.002) -> float:
-    """The score from which documents are rejected.
+def calibrate(score: np.ndarray, good: np.ndarray, weight: float = 20.0) -> float:
+    """The score from which documents are rejected: most bad rows caught, a lost share of good rows counting ``weight`` times.
 
-    The least score beyond all but a ``clean_loss`` share of good rows, moved up
-    into the widest gap between scores before the next bad row. Without good
-    rows nothing is rejected (infinity).
+    Of equally good scores the middle of the widest gap. Without good or bad rows nothing is rejected (infinity).
     """
-    g = np.sort(score[good])
-    if not len(g):
+    if not good.any() or good.all():
+        return float("inf")
+    at = np.unique(score)
+    caught = 1 - np.searchsorted(np.sort(score[~good]), at) / (~good).sum()
+    lost = 1 - np.searchsorted(np.sort(score[good]), at) / good.sum()
+    value = caught - weight * lost
+    if value.max() <= 0:
         return float("inf")
-    edge = g[min(len(g) - 1, int(np.ceil(len(g) * (1 - clean_loss))))]
-    above = np.sort(score[~good & (score > edge)])
-    return float((edge + above[0]) / 2 if len(above) else np.nextafter(edge, np.inf))
+    gap = at - np.concatenate([[at[0] - 1e-9], at[:-1]])
+    best = np.flatnonzero(value >= value.max() - 1e-12)
+    k = best[int(np.argmax(gap[best]))]
+    return float(at[k] - gap[k] / 2)
 
 
 @dataclass
@@ -139,7 +152,7 @@ class Model:
 
 
 def _stats_rows(batches):
-    for b in batches:
+    for b in common.slices(batches):
         s = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
         rest = [b.column(c) for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*rest, *(pa.array(s[:, k]) for k in range(len(STATS)))], [*(c for c in b.schema.names if c != "text"), *STATS])
@@ -190,7 +203,7 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         m = sent.value
-        for b in batches:
+        for b in common.slices(batches):
             s = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             failed, score, kept = judge(s, m)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, k]) for k in range(5)), pa.array(failed), pa.array(score), pa.array(kept)], ["doc_id", *STATS[:5], "base_failed", "anomaly", "kept"])
@@ -203,7 +216,7 @@ def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in common.slices(batches):
             s = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
             yield b.filter(pa.array(judge(s, sent.value)[2]))
 
