@@ -42,7 +42,7 @@ def _hashes(points: np.ndarray) -> np.ndarray:
 
 def sketches(texts: list[str], fraction: int = FRACTION) -> list[np.ndarray]:
     """Sorted distinct retained hashes of each text; texts shorter than a shingle are padded to one, the empty text has none."""
-    most = np.uint64(2**64 // fraction)
+    most = np.uint64(min(2**64 // fraction, 2**64 - 1))
     found: list[list[np.ndarray]] = [[] for _ in texts]
     group: list[int] = []
     held = 0
