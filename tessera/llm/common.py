@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import re
 import tempfile
 import uuid
 
@@ -126,7 +125,31 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-_CUT = re.compile(r" (?=\S)")
+_caches: dict[str, list] = {}
+_cache_owner = ""
+
+
+def register_cache(owner: str, clear) -> None:
+    """A cache that a Python worker keeps between tasks."""
+    _caches.setdefault(owner, []).append(clear)
+
+
+def use_caches(owner: str) -> None:
+    """Empty what other operators have left in this worker, which serves one stage after the other."""
+    global _cache_owner
+    if _cache_owner != owner:
+        for name, clears in _caches.items():
+            if name != owner:
+                for clear in clears:
+                    clear()
+        _cache_owner = owner
+
+
+def slices(batches, rows: int = 1000):
+    """Arrow batches in parts of some rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
 
 
 def groups_by_size(texts: list, most: int = 2_000_000):

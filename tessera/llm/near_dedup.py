@@ -45,13 +45,14 @@ class _Words(dict):
     def __missing__(self, w: bytes) -> int:
         import xxhash
 
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         v = self[w] = xxhash.xxh3_64_intdigest(w)
         return v
 
 
 _words = _Words()
+common.register_cache("near_dedup", _words.clear)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -109,7 +110,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _sketch(width: int):
     def run(batches):
-        for b in batches:
+        common.use_caches("near_dedup")
+        for b in common.slices(batches):
             ids, texts = b.column("doc_id"), b.column("text").to_pylist()
             for lo, hi in common.groups_by_size(texts):
                 sets = [shingle_set(t, width) for t in texts[lo:hi]]

@@ -33,7 +33,7 @@ class _Terms(dict):
     """Feature numbers (shape, ending) of words; forgotten when there are many."""
 
     def __missing__(self, w: str) -> tuple[int, int]:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         shape = _RUN.sub(r"\1", "".join(c if ord(c) < 128 else "A" if c.isupper() else "a" for c in w).translate(_CLASSES))
         end = w.lower().rstrip(".,;:!?")[-3:]
@@ -42,6 +42,7 @@ class _Terms(dict):
 
 
 _terms = _Terms()
+common.register_cache("quality_classifier", _terms.clear)
 
 
 def content_view(text: str | None) -> np.ndarray:
@@ -162,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     rows = docs.select("doc_id", "lang", "source", "n_chars", "text").join(F.broadcast(some.union(others)), F.col("doc_id") == F.col("id"))
 
     def run(batches):
-        for b in batches:
+        for b in _parts(batches):
             content, meta = views(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars", "text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "quality", "content", "meta"])
 
@@ -181,8 +182,9 @@ def _scored(model: Model, b) -> tuple:
     return a, m, s, s > model.threshold
 
 
-def _parts(b, rows: int = 1000):
-    return (b.slice(lo, rows) for lo in range(0, b.num_rows, rows))
+def _parts(batches):
+    common.use_caches("quality_classifier")
+    return common.slices(batches)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
@@ -195,9 +197,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for whole in batches:
-            for b in _parts(whole):
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) if x.dtype == bool else pa.array(x, pa.float64()) for x in _scored(sent.value, b))], ["doc_id", "content_score", "metadata_score", "score", "kept"])
+        for b in _parts(batches):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x) if x.dtype == bool else pa.array(x, pa.float64()) for x in _scored(sent.value, b))], ["doc_id", "content_score", "metadata_score", "score", "kept"])
 
     return docs.select("doc_id", "lang", "source", "n_chars", "text").mapInArrow(run, OUT)
 
@@ -207,9 +208,8 @@ def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for whole in batches:
-            for b in _parts(whole):
-                yield b.filter(pa.array(_scored(sent.value, b)[3]))
+        for b in _parts(batches):
+            yield b.filter(pa.array(_scored(sent.value, b)[3]))
 
     return docs.mapInArrow(run, docs.schema)
 

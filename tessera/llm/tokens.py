@@ -11,6 +11,8 @@ import os
 import re
 import sys
 
+from . import common
+
 #: A plain space before a non-space starts a new pre-token of byte-level BPE, whatever stands before it.
 _CUT = re.compile(r" (?=\S)")
 #: A space-led word of Latin letters is one pre-token, and marks after it are another. The marks leave out <, | and >, of which special tokens are made.
@@ -65,7 +67,7 @@ class Encoder:
     used since half as many came are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = path.endswith(".model")
         if self.model:
@@ -171,7 +173,15 @@ class _Pieces(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker and file."""
+def _encoder(path: str) -> Encoder:
     gc.set_threshold(200_000, 20, 20)  # millions of short strings, and no cycles
     return Encoder(path)
+
+
+common.register_cache("tokens", _encoder.cache_clear)
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker and file."""
+    common.use_caches("tokens")
+    return _encoder(path)

@@ -38,7 +38,7 @@ class _Known(dict):
         self.terms = terms
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         v = self[word] = tuple(self.terms[k] for k in term_keys(word) if k in self.terms)
         return v
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
 
     def run(batches):
-        for b in (whole.slice(lo, 256) for whole in batches for lo in range(0, whole.num_rows, 256)):  # terms take far more room than texts
+        for b in common.slices(batches, 256):  # terms take far more room than texts
             keys = [sorted({k for w in set(common.words(t)) for k in term_keys(w)}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("digest"), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "toxic", "digest", "keys"])
 
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
 
     def count(batches):
         mine = _Known({k: i for i, k in enumerate(terms)})
-        for b in batches:
+        for b in common.slices(batches):
             counts = [_count(t, mine) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(c) for c in counts], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "c"])
 
@@ -204,7 +204,7 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3, modulus: int =
         ix = sent.value
         mine = _Known({k: i for i, k in enumerate(ix.terms)})
         seen: dict = {}
-        for b in batches:
+        for b in common.slices(batches):
             scores, evidence = [], []
             for text in b.column("text").to_pylist():
                 counts = _count(text, mine)
