@@ -1,6 +1,6 @@
 """Operators on banded matrices."""
 
-from . import elementwise, reductions
+from . import elementwise, indexing, reductions
 from .matrix import BandMatrix
 
-__all__ = ["BandMatrix", "elementwise", "reductions"]
+__all__ = ["BandMatrix", "elementwise", "indexing", "reductions"]
