@@ -58,9 +58,17 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python workers by 1000 rows instead of the default 10,000, which for long texts are hundreds of MB; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return it reread; later reads survive lost executors."""
     spark = df.sparkSession
+    text_batches(spark)
     path = new_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

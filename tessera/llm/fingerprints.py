@@ -169,6 +169,7 @@ def fingerprint(docs: DataFrame, rows_per_part: int = 2_000) -> DataFrame:
     document of a range is also sent to the range before it; the driver gets
     one id for each range.
     """
+    common.text_batches(docs.sparkSession)
     least = -(2**63)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(least)).alias("at"))
     n = rows.count()

@@ -175,6 +175,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eo
     groups of about ``rows_per_group`` pieces, so that one very common length
     doesn't meet in one task.
     """
+    common.text_batches(docs.sparkSession)
     path = tokenizer or tokens.default_path()
     pieces = common.materialise(docs.select("doc_id", "text").mapInArrow(_cut(path, capacity, eos), PIECE), "pieces")
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}

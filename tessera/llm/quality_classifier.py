@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
     A third of the labelled rows is held out for calibration. Labels with null
     doc_id or quality are ignored; of repeated ids the least quality counts.
     """
+    common.text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     some = common.bounded_sample(known, "doc_id", labelled_rows, seed).select(F.col("doc_id").alias("id"), "quality")
     others = docs.where("doc_id is not null").select("doc_id").distinct().join(known, "doc_id", "left_anti")
@@ -194,6 +195,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     are scored like others; further columns are ignored; an empty table gives an
     empty result.
     """
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -205,6 +207,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
 def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

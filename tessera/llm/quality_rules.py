@@ -168,6 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, forest_rows: int = FOREST_ROWS, labe
     fail are left out of both: the forest judges the others only. Rows of labels
     with null doc_id or quality are ignored; of repeated ids the least quality counts.
     """
+    common.text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = common.bounded_sample(known, "doc_id", labelled_rows, seed).select(F.col("doc_id").alias("id"), "quality")
     ids = common.bounded_sample(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", forest_rows, seed + 1).select(F.col("doc_id").alias("id"), F.lit(-1).alias("quality"))
@@ -199,6 +200,7 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
     repeated ids keep their rows; other columns are ignored; an empty table
     gives an empty result.
     """
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -213,6 +215,7 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
 
 def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -61,6 +61,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_path: str
     size moves once a task. An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    common.text_batches(spark)
     path = tokenizer or tokens.default_path()
     version = tokens.version_digest(path)
     cache = TokenCountCache(spark, cache_path)

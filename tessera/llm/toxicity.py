@@ -156,6 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
     label counts. Equal texts are one example. Calibration asks each example
     for its neighbours without itself.
     """
+    common.text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").where(common.doc_ids_mod("doc_id", modulus) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = common.bounded_sample(known, "doc_id", examples, seed).select(F.col("doc_id").alias("id"), F.col("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
@@ -198,6 +199,7 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3, modulus: int =
     repeated ids keep their rows; other columns are ignored; an empty table
     gives an empty result.
     """
+    common.text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
