@@ -44,7 +44,10 @@ def version_digest(path: str) -> str:
     return hashlib.sha256(open(path, "rb").read() + version.encode()).hexdigest()
 
 
-def _sections(text: str, most: int = 1 << 20):
+_SECTION = 1 << 20
+
+
+def _sections(text: str, most: int = _SECTION):
     """The text in parts that begin where a pre-token begins, each a little over ``most`` long."""
     at = 0
     while len(text) - at > most:
@@ -67,7 +70,7 @@ class Encoder:
     used since half as many came are forgotten.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.model = path.endswith(".model")
         if self.model:
@@ -99,26 +102,41 @@ class Encoder:
             return [list(x) for x in self.lib.encode(texts, num_threads=1)]
         return [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, text: str, pieces: dict):
-        """The values of a text's pieces, section by section."""
+    def _known(self, text: str, pieces: dict, total):
+        """``total`` of the values of a text's pieces."""
+        get = pieces.__getitem__
+        if len(text) <= _SECTION:
+            p = text.split(" ")
+            p[0] = " " + p[0]
+            try:
+                return total(map(get, p))
+            except _NotAPiece:  # white space after a space: the pattern cuts elsewhere
+                pass
+        out = None
         for k, section in enumerate(_sections(text)):
             p = _CUT.split(section)
             if k:
                 del p[0]  # empty: the section begins with the space of its first piece
             else:
                 p[0] = " " + p[0]  # a text's own start; other pieces never begin with a space
-            yield map(pieces.__getitem__, p)
+            v = total(map(get, p))
+            out = v if out is None else out + v
+        return out
 
     def counts(self, texts: list[str]) -> list[int]:
         if not self.by_piece:
             return [len(x) for t in texts for x in self.raw([t])]
-        return [sum(map(sum, self._known(t, self.sizes))) for t in texts]
+        return [self._known(t, self.sizes, sum) for t in texts]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_piece:
             return [_pack(x) for t in texts for x in self.raw([t])]
-        return [b"".join([x for section in self._known(t, self.pieces) for x in section]) for t in texts]
+        return [self._known(t, self.pieces, b"".join) for t in texts]
+
+
+class _NotAPiece(KeyError):
+    """A text was cut before a space that white space follows."""
 
 
 class _Pieces(dict):
@@ -139,13 +157,15 @@ class _Pieces(dict):
 
     def _marks(self, mark: str):
         if mark not in self.marks:
+            if len(self.marks) > 20_000:
+                self.marks = {"": self.marks[""]}
             self.marks[mark] = self.value(self.lib.encode(mark, add_special_tokens=False).ids)
         return self.marks[mark]
 
     def _plain(self, piece: str):
         """The value of words and marks, if the piece is nothing else; lines after the first begin without a space."""
         out = None
-        for k, line in enumerate(piece.split("\n")):
+        for k, line in enumerate(piece.split("\n") if "\n" in piece else (piece,)):
             m = _WORD.fullmatch(line)
             if m is None:
                 return None
@@ -160,11 +180,16 @@ class _Pieces(dict):
         return out
 
     def __missing__(self, piece: str):
+        first = piece[:1]
+        if first != " " and (not first or first.isspace()):
+            raise _NotAPiece(piece)
         v = self.older.get(piece)
         if v is None:
             v = self._plain(piece)
         if v is None:
             v = self.value(self.lib.encode(piece[1:] if piece[:1] == " " else " " + piece, add_special_tokens=False).ids)
+        if len(piece) > 200:
+            return v  # too long to be worth keeping
         if len(self) >= self.most // 2:
             self.older = dict(self)
             self.clear()

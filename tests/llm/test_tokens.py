@@ -26,6 +26,7 @@ def test_long_text_in_sections(monkeypatch):
     text = " ".join(["some words, and  gaps\n", "x" * 30] * 50)
     assert "".join(tokens._sections(text, 100)) == text
     monkeypatch.setattr(tokens._sections, "__defaults__", (100,))
+    monkeypatch.setattr(tokens, "_SECTION", 100)
     enc = tokens.Encoder(tokens.default_path(), most=20)
     assert enc.counts([text, "a b"]) == [len(x) for x in brute([text, "a b"])]
 
