@@ -36,7 +36,12 @@ def make_meta(spark: SparkSession, sizes: dict[str, int], d: int, band_fill: flo
         if d > n:
             warnings.warn(f"diag_num {d} is larger than {n}, the size of {chrom}; it is clamped", stacklevel=3)
     rows = [(c, int(n), min(d, int(n)), float(band_fill), float(default_value)) for c, n in sizes.items()]
-    return spark.createDataFrame(rows, "chrom string, n long, d long, band_fill double, default_value double")
+    return local(spark.createDataFrame(rows, "chrom string, n long, d long, band_fill double, default_value double"))
+
+
+def local(df: DataFrame) -> DataFrame:
+    """A table of one row for each matrix as literal rows: found by one job, where a plan over the source would read it again at every use."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)  # from Arrow it is a local relation, whose size the planner knows
 
 
 @dataclass(frozen=True)
@@ -48,11 +53,12 @@ class BandMatrix:
     # ---- construction -------------------------------------------------------------------------------------------
 
     @staticmethod
-    def from_coo(df: DataFrame, d: int, n: DataFrame | int | None = None, default_value: float = 0.0, how: str = "last", order: str | None = None) -> BandMatrix:
+    def from_coo(df: DataFrame, d: int, n: DataFrame | dict[str, int] | int | None = None, default_value: float = 0.0, how: str = "last", order: str | None = None) -> BandMatrix:
         """``df(chrom, row, col, value)``; lower-triangle entries are mirrored, entries out of the band dropped.
 
         how: of duplicates, the "last" by the column ``order`` (needed for it), or their "sum". n: a size for all
-        matrices, ``(chrom, n)``, or None for the largest index + 1. Negative indices and indices beyond n are errors.
+        matrices, ``(chrom, n)``, or None for the largest index + 1; the sizes are collected by one job, or by none
+        if ``n`` is a dict of them. In-band entries with a negative index, or one beyond a size given as a number, raise.
         """
         if d < 1:
             raise ValueError("diag_num must be 1 or more")
@@ -60,13 +66,18 @@ class BandMatrix:
         if how == "last" and order is None:
             raise ValueError("'last' needs a column that orders the input; distributed rows have no order of their own")
         value = F.sum("value") if how == "sum" else F.max_by("value", order)
-        if n is None:
+        if isinstance(n, dict):
+            sizes = df.sparkSession.createDataFrame(list(n.items()), "chrom string, n long")
+        elif n is None:
             sizes = df.groupBy("chrom").agg((F.max(F.greatest("row", "col")) + 1).cast("long").alias("n"))
         elif isinstance(n, int):
             sizes = df.select("chrom").distinct().withColumn("n", F.lit(n).cast("long"))
         else:
             sizes = n.select("chrom", F.col("n").cast("long").alias("n"))
         meta = sizes.select("chrom", "n", F.least(F.lit(d).cast("long"), "n").alias("d"), F.lit(float(default_value)).alias("band_fill"), F.lit(float(default_value)).alias("default_value"))
+        meta = local(meta)
+        bad = (F.least("row", "col") < 0) | (F.greatest("row", "col") >= F.lit(n) if isinstance(n, int) else F.lit(False))
+        i = F.when(bad, F.raise_error(F.lit("index out of range"))).otherwise(i).cast("int")
         cells = df.where(F.abs(F.col("row") - F.col("col")) < d).select("chrom", i.alias("i"), k.alias("k"), *(["value"] if how == "sum" else ["value", order]))
         cells = cells.groupBy(*KEY).agg(value.alias("v")).withColumn("masked", F.lit(False))
         return BandMatrix(cells, meta)
@@ -79,12 +90,12 @@ class BandMatrix:
         k = (F.col("j") - F.col("i")).cast("int")
         cells = long.where((F.col("j") >= F.col("i")) & (k < d)).select("chrom", F.col("i").cast("int").alias("i"), k.alias("k"), "v", F.lit(False).alias("masked"))
         meta = sizes.select("chrom", "n", F.least(F.lit(d).cast("long"), "n").alias("d"), F.lit(float(default_value)).alias("band_fill"), F.lit(float(default_value)).alias("default_value"))
-        return BandMatrix(cells, meta)
+        return BandMatrix(cells, local(meta))
 
     @staticmethod
     def from_band(df: DataFrame, default_value: float = 0.0) -> BandMatrix:
         """``df(chrom, i, values[, masks])``: row i of the band, diagonal k at position k; padding is dropped."""
-        sizes = df.groupBy("chrom").agg(F.count("*").alias("n"), F.max(F.size("values")).cast("long").alias("d"))
+        sizes = local(df.groupBy("chrom").agg(F.count("*").alias("n"), F.max(F.size("values")).cast("long").alias("d")))
         cols = [F.arrays_zip("values", "masks").alias("z")] if "masks" in df.columns else [F.transform("values", lambda x: F.struct(x.alias("values"), F.lit(False).alias("masks"))).alias("z")]
         long = df.select("chrom", "i", *cols).select("chrom", "i", F.posexplode("z").alias("k", "z")).join(sizes, "chrom")
         cells = long.where(F.col("i") + F.col("k") < F.col("n")).select("chrom", F.col("i").cast("int").alias("i"), F.col("k").cast("int").alias("k"), F.col("z.values").alias("v"), F.coalesce("z.masks", F.lit(False)).alias("masked"))
