@@ -168,14 +168,28 @@ def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
             content, meta = views(*(b.column(c).to_pylist() for c in ("lang", "source", "n_chars", "text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([x.tobytes() for x in content], pa.binary()), pa.array([x.tobytes() for x in meta], pa.binary())], ["doc_id", "quality", "content", "meta"])
 
-    got = rows.select("doc_id", "quality", "lang", "source", "n_chars", "text").mapInArrow(run, "doc_id long, quality int, content binary, meta binary").toPandas()
-    got = got.sort_values(["doc_id", "content", "meta"]).reset_index(drop=True)
-    content = np.frombuffer(b"".join(got["content"]), dtype=np.float32).reshape(-1, CONTENT)
-    meta = np.frombuffer(b"".join(got["meta"]), dtype=np.float32).reshape(-1, META)
-    q = got["quality"].to_numpy()
-    lab = q >= 0
-    held = np.array([zlib.crc32(b"held%d" % i) % 3 == 0 for i in got["doc_id"][lab]], dtype=bool)
-    return co_train((content[lab], meta[lab]), (q[lab] > 0).astype(float), (content[~lab], meta[~lab]), held)
+    got = rows.select("doc_id", "quality", "lang", "source", "n_chars", "text").mapInArrow(run, "doc_id long, quality int, content binary, meta binary").toArrow()
+    content, meta = _matrix(got.column("content"), CONTENT), _matrix(got.column("meta"), META)
+    ids, q = got.column("doc_id").to_numpy(), got.column("quality").to_numpy()
+    del got
+    order = np.lexsort((meta.sum(axis=1), content.sum(axis=1), ids, q < 0))  # labelled rows first, whatever order they came in
+    content, meta, ids, q = content[order], meta[order], ids[order], q[order]
+    n = int((q >= 0).sum())
+    held = np.array([zlib.crc32(b"held%d" % i) % 3 == 0 for i in ids[:n]], dtype=bool)
+    return co_train((content[:n], meta[:n]), (q[:n] > 0).astype(float), (content[n:], meta[n:]), held)
+
+
+def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """Rows of float32 from a binary column, without a Python object for each."""
+    parts = [np.empty((0, width), dtype=np.float32)]
+    for c in column.chunks:
+        size = 4 * width
+        kind = np.dtype("int64" if pa.types.is_large_binary(c.type) else "int32")
+        start = int(np.frombuffer(c.buffers()[1], dtype=kind, count=1, offset=c.offset * kind.itemsize)[0]) if len(c) else 0
+        if len(c):
+            parts.append(np.frombuffer(c.buffers()[2], dtype=np.float32, count=len(c) * width, offset=start).reshape(len(c), width))
+        assert start % size == 0
+    return np.concatenate(parts)
 
 
 def _scored(model: Model, b) -> tuple:
