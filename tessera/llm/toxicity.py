@@ -1,24 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are words and word beginnings that labelled rows show to matter. The index
+Terms are all words of the examples and their beginnings; words that no example
+has count in the length of a document's vector. A term's weight is its TF-IDF
+times how much more common it is in toxic examples, and never zero. The index
 holds a bounded sample of labelled documents and is sent to every task; each
-document is a query, and blocks of examples are scored in the order of an upper
-bound until no other block can hold a nearer example, so the nearest are exact.
+document is a query whose terms are added up in the order of an upper bound
+until no example but a few candidates can be among the nearest, and these are
+scored in full, so the nearest are exact.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents in the index, terms, neighbours, examples in a block.
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 20_000, 2_048, 15, 64
+#: Labelled documents in the index, neighbours, examples in a block, examples of a term that has bounds by block, candidates scored in full.
+EXAMPLES, NEIGHBOURS, BLOCK, FREQUENT, CANDIDATES = 20_000, 15, 64, 256, 60
+#: Factor of terms that are no more common in toxic examples; examples' worth of the prior in that comparison.
+FLOOR, SHRINK = 0.1, 16.0
 PREFIXES = (4, 5, 6)
 MARKS = b".,!?;:*%&$#|()[]\"'<>-_"
 OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int>>"
@@ -30,76 +39,147 @@ def term_keys(word: bytes) -> list[str]:
     return [w, *("^" + w[:n] for n in PREFIXES if len(w) > n)] if w else []
 
 
-class _Known(dict):
-    """Numbers of the chosen terms of a word; words without any share one empty tuple."""
+def term_number(key: str) -> int:
+    """64 bits of a digest; the same in every process."""
+    return int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
-    def __init__(self, terms: dict[str, int]):
-        super().__init__()
-        self.terms = terms
+
+class _Numbers(dict):
+    """Numbers of all terms of a word."""
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
         if len(self) >= 200_000:
             self.clear()
-        v = self[word] = tuple(self.terms[k] for k in term_keys(word) if k in self.terms)
+        v = self[word] = tuple(map(term_number, term_keys(word)))
         return v
 
 
-def choose_terms(words_of: DataFrame, most: int = TERMS, least: int = 8) -> list[str]:
-    """``words_of(toxic, keys)`` to the terms with the largest chi-squared, of those in ``least`` toxic examples or more and four times as common there as elsewhere."""
-    n = words_of.groupBy("toxic").agg(F.count("*").alias("n")).collect()
-    n1 = float(sum(r["n"] for r in n if r["toxic"] > 0))
-    n0 = float(sum(r["n"] for r in n if r["toxic"] <= 0))
-    if not n1 or not n0:
-        return []
-    toxic = (F.col("toxic") > 0).cast("double")
-    per = words_of.select("toxic", F.explode("keys").alias("k")).groupBy("k").agg(F.sum(toxic).alias("a"), F.sum(1 - toxic).alias("b"))
-    a, b = F.col("a"), F.col("b")
-    per = per.where((a >= least) & (a / n1 > 4 * (b + 1) / (n0 + 1)))
-    chi = (a * (n0 - b) - b * (n1 - a)) ** 2 * (n1 + n0) / ((a + b) * F.greatest(n1 - a + n0 - b, F.lit(1e-9)) * n1 * n0)
-    return [r["k"] for r in per.orderBy(chi.desc(), "k").limit(most).collect()]
+def text_terms(text: str | None, numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct term numbers of a text, in order, and how often each occurs."""
+    return np.unique(np.fromiter(chain.from_iterable(map(numbers.__getitem__, common.words(text))), dtype=np.uint64), return_counts=True)
+
+
+def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All positions of the ranges that start at lo and have n positions."""
+    ends = np.cumsum(n)
+    return np.repeat(lo - ends + n, n) + np.arange(int(ends[-1]) if len(n) else 0)
 
 
 @dataclass
 class Index:
-    """Examples as unit vectors, by term: postings in example order, and the largest weight in each block of examples."""
+    """Examples as unit vectors: counts by example, and by term the postings in example order with the largest weights."""
 
-    terms: list[str]
-    idf: np.ndarray
+    terms: np.ndarray  # numbers of all terms, in order
+    factor: np.ndarray  # idf * relevance of each term; last, that of a term of no example
     toxic: np.ndarray
     ids: np.ndarray
-    rows: list[np.ndarray]
-    weights: list[np.ndarray]
-    starts: np.ndarray
-    block_max: np.ndarray
+    edges: np.ndarray  # of examples in own_terms and own_counts
+    own_terms: np.ndarray
+    own_counts: np.ndarray
+    norm: np.ndarray
     curve: np.ndarray = field(default_factory=lambda: np.array([8.0, -4.0]))
     prior: float = 0.0
+    postings: tuple | None = None  # made where they are first used, never sent
+    query: np.ndarray | None = None  # room for one query's weights
+    sent: Broadcast | None = None  # the index as tasks have it, before its curve was known
+
+    def __getstate__(self):
+        return self.__dict__ | {"postings": None, "query": None, "sent": None}
+
+    def by_term(self) -> tuple:
+        """Starts of terms in rows and weights, these two, the largest weight of each term, and for terms of many examples their row in the largest weights by block."""
+        if self.postings is None:
+            n, v = len(self.ids), len(self.terms)
+            weights = (1 + np.log(self.own_counts, dtype=np.float32)) * self.factor.astype(np.float32)[self.own_terms]
+            order = np.argsort(self.own_terms, kind="stable")
+            rows = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.edges))
+            weights /= self.norm.astype(np.float32)[rows]
+            rows, weights = rows[order], weights[order]
+            del order
+            df = np.bincount(self.own_terms, minlength=v)
+            starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
+            most = np.maximum.reduceat(weights, starts[:-1]) * (1 + 1e-6) if v else np.zeros(0)
+            most[df == 0] = 0
+            often = np.flatnonzero(df >= FREQUENT)
+            frequent = np.full(v, -1, dtype=np.int32)
+            frequent[often] = np.arange(len(often))
+            block_max = np.zeros((len(often), max(1, -(-n // BLOCK))), dtype=np.float32)
+            for j, t in enumerate(often):
+                lo, hi = starts[t], starts[t + 1]
+                np.maximum.at(block_max[j], rows[lo:hi] // BLOCK, weights[lo:hi])
+            self.postings = starts, rows, weights, most, frequent, block_max
+        return self.postings
+
+    def known(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the index and unit weights, (1 + log tf) * idf * relevance; terms of no example count in the norm only."""
+        at = np.searchsorted(self.terms, numbers)
+        found = np.zeros(len(numbers), dtype=bool)
+        inside = at < len(self.terms)
+        found[inside] = self.terms[at[inside]] == numbers[inside]
+        w = (1 + np.log(counts)) * self.factor[np.where(found, at, len(self.terms))]
+        return at[found], w[found] / np.sqrt((w * w).sum()) if len(w) else w
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit weights: (1 + log tf) * idf."""
-        t = np.fromiter(sorted(counts), dtype=np.int64, count=len(counts))
-        w = (1 + np.log(np.array([counts[int(x)] for x in t], dtype=float))) * self.idf[t]
+        """Terms and unit weights from counts by position in ``terms``."""
+        t = np.array(sorted(counts), dtype=np.int64)
+        w = (1 + np.log(np.array([counts[int(x)] for x in t], dtype=float))) * self.factor[t]
         return t, w / np.sqrt((w * w).sum()) if len(t) else w
 
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = self.edges[i], self.edges[i + 1]
+        t = self.own_terms[lo:hi]
+        return t, (1 + np.log(self.own_counts[lo:hi].astype(float))) * self.factor[t] / self.norm[i]
+
+    def cosines(self, some: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Exact cosines of some examples."""
+        if self.query is None:
+            self.query = np.zeros(len(self.terms))
+        self.query[t] = w
+        n = np.diff(self.edges)[some]
+        at = _spans(self.edges[:-1][some], n)
+        q = self.query[self.own_terms[at]]
+        same = np.flatnonzero(q)
+        x = (1 + np.log(self.own_counts[at[same]].astype(float))) * self.factor[self.own_terms[at[same]]] * q[same]
+        self.query[t] = 0
+        return np.bincount(np.repeat(np.arange(len(some)), n)[same], x, len(some)) / self.norm[some]
+
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a positive cosine; the earlier example of equal ones first."""
-        if not len(t):
+        n = len(self.ids)
+        if not len(t) or not n:
             return np.empty(0, dtype=np.int64), np.empty(0)
-        bound = w @ self.block_max[t]
-        order = np.lexsort((np.arange(len(bound)), -bound))
-        top_i, top_s = np.empty(0, dtype=np.int64), np.empty(0)
-        for b in order:
-            if bound[b] <= 0 or (len(top_s) == k and bound[b] < top_s[-1] - 1e-12):
+        starts, rows, weights, most, frequent, block_max = self.by_term()
+        bound = w * most[t]
+        order = np.argsort(-bound, kind="stable")
+        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+        sums = np.zeros(n)
+        if without >= 0:
+            sums[without] = -4.0
+        done, step = 0, 24
+        while True:
+            part = order[done : done + step]
+            lo = starts[t[part]]
+            size = starts[t[part] + 1] - lo
+            at = _spans(lo, size)
+            sums += np.bincount(rows[at], np.repeat(w[part], size) * weights[at], n)
+            done, step = done + len(part), step * 2
+            edge = float(np.partition(sums, n - k)[n - k]) - 1e-5 if n > k else -1.0
+            if done == len(order):
+                some = np.flatnonzero(sums > max(edge, 0.0)) if edge > 0 else np.flatnonzero(sums > 0)
+                break
+            if edge < left[done] * 0.5:
+                continue
+            rest = order[done:]
+            row = frequent[t[rest]]
+            by_block = w[rest[row >= 0]] @ block_max[row[row >= 0]] + bound[rest[row < 0]].sum()
+            some = np.flatnonzero(sums + by_block.repeat(BLOCK)[:n] >= edge)
+            if edge > 0 and len(some) <= CANDIDATES:
                 break
-            score = np.zeros(BLOCK)
-            for term, x in zip(t, w, strict=True):
-                lo, hi = self.starts[term, b], self.starts[term, b + 1]
-                score[self.rows[term][lo:hi] - b * BLOCK] += x * self.weights[term][lo:hi]
-            some = np.flatnonzero(score > 0)
-            some = some[some + b * BLOCK != without]
-            top_i, top_s = np.concatenate([top_i, some + b * BLOCK]), np.concatenate([top_s, score[some]])
-            best = np.lexsort((top_i, -top_s))[:k]
-            top_i, top_s = top_i[best], top_s[best]
-        return top_i, top_s
+        some = some[some != without]
+        s = self.cosines(some, t, w)
+        some, s = some[s > 0], s[s > 0]
+        best = np.lexsort((some, -s))[:k]
+        return some[best], s[best]
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic examples, weighted by the inverse distance, with the prior as one more vote of weight 0.1."""
@@ -107,26 +187,31 @@ class Index:
         return float((x @ self.toxic[i] + 0.1 * self.prior) / (x.sum() + 0.1))
 
 
-def build(counts: list[dict[int, int]], toxic: np.ndarray, ids: np.ndarray, terms: list[str]) -> Index:
-    n = len(counts)
-    df = np.zeros(len(terms))
-    for c in counts:
-        df[list(c)] += 1
-    blocks = max(1, -(-n // BLOCK))
-    index = Index(terms, np.log((n + 1) / (df + 1)) + 1, toxic.astype(float), ids, [], [], np.zeros((len(terms), blocks + 1), dtype=np.int64), np.zeros((len(terms), blocks)), prior=float(toxic.mean()) if n else 0.0)
-    rows: list[list[int]] = [[] for _ in terms]
-    weights: list[list[float]] = [[] for _ in terms]
-    for i, c in enumerate(counts):
-        for t, w in zip(*index.vector(c), strict=True):
-            rows[t].append(i)
-            weights[t].append(w)
-    for t in range(len(terms)):
-        r, w = np.array(rows[t], dtype=np.int64), np.array(weights[t])
-        index.rows.append(r)
-        index.weights.append(w)
-        index.starts[t] = np.searchsorted(r, np.arange(blocks + 1) * BLOCK)
-        np.maximum.at(index.block_max[t], r // BLOCK, w)
-    return index
+def _index(terms: np.ndarray, edges: np.ndarray, own_terms: np.ndarray, own_counts: np.ndarray, toxic: np.ndarray, ids: np.ndarray) -> Index:
+    """The index of examples whose terms, as positions in ``terms``, and counts stand one example after the other."""
+    n, v = len(ids), len(terms)
+    bad = np.asarray(toxic) > 0
+    n1 = float(bad.sum())
+    n0 = n - n1
+    df = np.bincount(own_terms, minlength=v + 1).astype(float)
+    a = np.bincount(own_terms[np.repeat(bad, np.diff(edges))], minlength=v + 1).astype(float)
+    relevance = np.ones(v + 1)
+    if n1 and n0:
+        relevance = FLOOR + np.maximum(np.log((a + SHRINK * n1 / n) / (n1 + SHRINK)) - np.log((df - a + SHRINK * n0 / n) / (n0 + SHRINK)), 0)
+    factor = (np.log((n + 1) / (df + 1)) + 1) * relevance
+    norm = np.ones(n)
+    for i in range(n):
+        x = (1 + np.log(own_counts[edges[i] : edges[i + 1]].astype(float))) * factor[own_terms[edges[i] : edges[i + 1]]]
+        norm[i] = np.sqrt(x @ x) if len(x) else 1.0
+    return Index(terms, factor, bad.astype(float), ids, edges, own_terms.astype(np.int32, copy=False), own_counts.astype(np.min_scalar_type(int(own_counts.max(initial=1)))), norm, prior=float(bad.mean()) if n else 0.0)
+
+
+def build(counts: list[dict[int, int]], toxic: np.ndarray, ids: np.ndarray, terms: Iterable[str]) -> Index:
+    """The index of counts by position in ``terms``; numbers of terms take the place of ordered ones."""
+    terms = np.arange(len(list(terms)), dtype=np.uint64)
+    edges = np.concatenate([[0], np.cumsum([len(c) for c in counts])]).astype(np.int64)
+    t = np.array([k for c in counts for k in sorted(c)], dtype=np.int64)
+    return _index(terms, edges, t, np.array([c[k] for c in counts for k in sorted(c)], dtype=np.int64), toxic, ids)
 
 
 def _calibrate(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -141,52 +226,65 @@ def _calibrate(votes: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.array([max(w[0], 0.5), w[1]])
 
 
-def _count(text: str | None, known: _Known) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for ts in map(known.__getitem__, common.words(text)):
-        for t in ts:
-            out[t] = out.get(t, 0) + 1
-    return out
-
-
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: int = 4, held: int = 2, seed: int = 5) -> Index:
-    """Index at most ``examples`` labelled documents, those of least hashed id, none of the held-out ids.
+    """Index all terms of at most ``examples`` labelled documents, those of least hashed id, none of the held-out ids.
 
     Labels with null doc_id or toxic are ignored; of repeated ids the largest
     label counts. Equal texts are one example. Calibration asks each example
     for its neighbours without itself.
     """
-    common.text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    common.text_batches(spark)
     known = labels.where("doc_id is not null and toxic is not null").where(common.doc_ids_mod("doc_id", modulus) != held).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = common.bounded_sample(known, "doc_id", examples, seed).select(F.col("doc_id").alias("id"), F.col("toxic"))
     rows = docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"), "text")
+    one = common.materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("toxic").alias("most")), "digests")
 
     def run(batches):
-        for b in common.slices(batches, 256):  # terms take far more room than texts
-            keys = [sorted({k for w in set(common.words(t)) for k in term_keys(w)}) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("digest"), pa.array(keys, pa.list_(pa.string()))], ["doc_id", "toxic", "digest", "keys"])
+        numbers = _Numbers()
+        for b in common.slices(batches, 256):
+            got = [text_terms(t, numbers) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("digest"), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["doc_id", "toxic", "digest", "h", "c"])
+
+    # repeated rows of an id with one text give the same terms: the first stands for all
+    texts = rows.drop("toxic").join(F.broadcast(one.withColumnRenamed("digest", "d")), (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("d"))).select("doc_id", F.col("most").alias("toxic"), "digest", "text")
+    terms_of = common.materialise(texts.mapInArrow(run, "doc_id long, toxic int, digest string, h binary, c binary"), "examples")
+    keys, toxic, sizes, h, c, seen = [], [], [0], bytearray(), bytearray(), set()
+    for r in terms_of.toLocalIterator():
+        key = r["doc_id"], r["digest"]
+        if key in seen:
+            continue
+        seen.add(key)
+        keys.append(key)
+        toxic.append(float(r["toxic"] > 0))
+        sizes.append(len(r["c"]) // 4)
+        h += r["h"]
+        c += r["c"]
+    common.release(terms_of)
+    common.release(one)
+    numbers, toxic = np.frombuffer(h, dtype=np.uint64), np.array(toxic, dtype=float)
+    terms = np.sort(numbers)
+    terms = terms[np.append(True, terms[1:] != terms[:-1])[: len(terms)]]
+    own = np.empty(len(numbers), dtype=np.int32)
+    for lo in range(0, len(own), 1 << 20):
+        own[lo : lo + (1 << 20)] = np.searchsorted(terms, numbers[lo : lo + (1 << 20)])
+    del numbers, h
+    order = np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)
+    starts, sizes = np.cumsum(sizes, dtype=np.int64)[:-1], np.array(sizes[1:], dtype=np.int64)
+    at = np.concatenate([np.empty(0, dtype=np.int32), *(np.arange(starts[i], starts[i] + sizes[i], dtype=np.int32) for i in order)])
+    own, counts = own[at], np.frombuffer(c, dtype=np.int32)[at]
+    del at, c
+    index = _index(terms, np.append(0, np.cumsum(sizes[order])), own, counts, toxic[order], np.array([keys[i][0] for i in order], dtype=np.int64))
+    if len(toxic):
+        sent = index.sent = spark.sparkContext.broadcast(index)
 
-    words_of = rows.mapInArrow(run, "doc_id long, toxic int, digest string, keys array<string>").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.first("keys").alias("keys"))
-    words_of = common.materialise(words_of, "examples")
-    terms = choose_terms(words_of)
-    one = words_of.select(F.col("doc_id").alias("id"), "toxic")
+        def left_out(batches):
+            ix = sent.value
+            for b in batches:
+                i = b.column("id").to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*ix.nearest(*ix.example(k), without=k)) for k in i], pa.float64())], ["id", "vote"])
 
-    def count(batches):
-        mine = _Known({k: i for i, k in enumerate(terms)})
-        for b in common.slices(batches):
-            counts = [_count(t, mine) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([sorted(c) for c in counts], pa.list_(pa.int32())), pa.array([[c[t] for t in sorted(c)] for c in counts], pa.list_(pa.int32()))], ["doc_id", "toxic", "t", "c"])
-
-    got = docs.select("doc_id", "text").join(F.broadcast(one), F.col("doc_id") == F.col("id")).select("doc_id", "toxic", "text").mapInArrow(count, "doc_id long, toxic int, t array<int>, c array<int>").collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["t"], r["c"]))
-    counts = [dict(zip(r["t"], r["c"], strict=True)) for r in got]
-    # examples that share terms share blocks, which keeps the bounds tight
-    order = sorted(range(len(got)), key=lambda i: (sorted(counts[i], key=lambda t: t)[:3] if counts[i] else [len(terms)], got[i]["doc_id"]))
-    counts = [counts[i] for i in order]
-    toxic = np.array([got[i]["toxic"] > 0 for i in order], dtype=float)
-    index = build(counts, toxic, np.array([got[i]["doc_id"] for i in order], dtype=np.int64), terms)
-    if len(toxic):
-        votes = np.array([index.vote(*index.nearest(*index.vector(c), without=i)) for i, c in enumerate(counts)])
+        votes = spark.range(0, len(toxic), 1, max(1, min(len(toxic) // 256, 32))).mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id").column("vote").to_numpy()
         index.curve = _calibrate(votes, toxic)
     return index
 
@@ -195,27 +293,26 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3, modulus: int =
     """``docs(doc_id, text)`` to score, prediction and the nearest examples as evidence, one row for each input row.
 
     Only the text is an input of the score. Null and empty texts, and texts
-    without a chosen term, have no neighbours and the calibrated prior. Null and
-    repeated ids keep their rows; other columns are ignored; an empty table
-    gives an empty result.
+    that share no term with any example, have no neighbours and the calibrated
+    prior. Null and repeated ids keep their rows; other columns are ignored; an
+    empty table gives an empty result.
     """
     common.text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(index)
+    sent, curve = index.sent or docs.sparkSession.sparkContext.broadcast(index), index.curve
 
     def run(batches):
         ix = sent.value
-        mine = _Known({k: i for i, k in enumerate(ix.terms)})
+        numbers = _Numbers()
         seen: dict = {}
         for b in common.slices(batches):
             scores, evidence = [], []
             for text in b.column("text").to_pylist():
-                counts = _count(text, mine)
-                key = tuple(sorted(counts.items()))
+                key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 if key not in seen:
                     if len(seen) > 50_000:
                         seen.clear()
-                    i, s = ix.nearest(*ix.vector(counts))
-                    z = ix.curve[0] * ix.vote(i, s) + ix.curve[1]
+                    i, s = ix.nearest(*ix.known(*text_terms(text, numbers)))
+                    z = curve[0] * ix.vote(i, s) + curve[1]
                     seen[key] = float(1 / (1 + np.exp(-z))), [{"example": int(ix.ids[j]), "cosine": float(x), "toxic": int(ix.toxic[j])} for j, x in zip(i[:3], s, strict=False)]
                 scores.append(seen[key][0])
                 evidence.append(seen[key][1])

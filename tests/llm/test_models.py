@@ -158,6 +158,27 @@ def test_toxicity_on_held_out_rows(spark, tables, make, odd_texts):
     assert all(r.predicted == 0 for r in toxicity.score(odd, nothing).collect())
 
 
+def test_toxicity_indexes_every_word(spark, make):
+    """Words of one example only, and words no more common in toxic examples, find their nearest examples too."""
+    texts = [f"common words here plain{i} other{i % 7}" for i in range(40)] + [f"common words here vile{i % 3} only{i}" for i in range(6)]
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    docs = make(list(zip(ids, texts, strict=True)))
+    labels = spark.createDataFrame([(i, 0, int("vile" in t)) for i, t in zip(ids, texts, strict=True)], "doc_id long, quality int, toxic int")
+    ix = toxicity.fit(docs, labels)
+    assert len(ix.terms) == len({k for t in texts for w in common.words(t) for k in toxicity.term_keys(w)})
+    got = {r.doc_id: r for r in toxicity.score(make([(1000, "plain5"), (1001, "only3"), (1002, "never seen")]), ix).collect()}
+    assert got[1000].evidence[0].example == ids[5] and got[1001].evidence[0].example == ids[43] and not got[1002].evidence
+    dense = np.zeros((len(ids), len(ix.terms)))
+    for i in range(len(ids)):
+        t, w = ix.example(i)
+        dense[i, t] = w
+    for text in texts[::5]:
+        t, w = ix.known(*toxicity.text_terms(text, toxicity._Numbers()))
+        np.testing.assert_allclose(ix.nearest(t, w)[1], -np.sort(-(dense[:, t] @ w))[: toxicity.NEIGHBOURS])
+    t, w = ix.known(*toxicity.text_terms("plain5 never seen", toxicity._Numbers()))
+    assert (w * w).sum() < 1  # words of no example count in the length
+
+
 def brute_base(rows):
     train = [t or "" for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 10 != 0]
     lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
