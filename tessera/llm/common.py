@@ -1,7 +1,8 @@
 """What the operators share: scratch tables, bounded samples, words, components.
 
 Scratch tables go to the folder in ``spark.checkpoint.dir``, which every
-executor can reach; a private folder is used only where that setting is unset.
+executor can reach. Where it is unset, a private folder serves one local
+process, as in tests; a cluster without it raises.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if "root" not in _own_root:
         _own_root["root"] = "file://" + tempfile.mkdtemp(prefix="tessera-")
     return _own_root["root"]
@@ -51,11 +54,12 @@ def _clean() -> None:
             _delete(spark, path)
 
 
-def release(df: DataFrame) -> None:
-    """Delete the scratch table behind a frame that ``materialise`` returned."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        _delete(df.sparkSession, path)
+def release(*frames: DataFrame) -> None:
+    """Delete the scratch tables behind frames that ``materialise`` returned."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -94,38 +98,70 @@ def bounded_sample(df: DataFrame, key: str, bound: int, seed: int) -> DataFrame:
     return df.where(h < F.lit(min(edge, 2**63 - 1))).orderBy(h, key).limit(bound)
 
 
+#: Rows of one key from which a join splits it.
+SPREAD = 200_000
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner", spread: int | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key, so that no task gets much more than ``spread`` rows of one key.
+
+    Keys with more rows on the left are split by a salt and their right rows
+    copied once for each part; rows that are alike in all columns share a salt.
+    The table of such keys has at most one row for ``spread`` rows of ``left``
+    and is all that is sent to every task. Null keys meet nothing and are spread.
+    counted: a frame with the rows of ``left``, fewer columns and a cheaper plan, from which rows are counted.
+    """
+    spread = spread or SPREAD
+    counted = left if counted is None else counted
+    hot = counted.groupBy(*key).agg(F.ceil(F.count("*") / spread).cast("int").alias("_parts")).where("_parts > 1")
+    hot = hot.where(" and ".join(f"`{k}` is not null" for k in key))
+    parts = F.coalesce("_parts", F.lit(1))
+    none = F.lit(False)
+    for k in key:
+        none = none | F.col(k).isNull()
+    mark = F.xxhash64(*counted.columns)
+    salt = F.when(none, F.pmod(mark, F.lit(1009))).otherwise(F.pmod(mark, parts)).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
+    copies = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*key, "_salt"], how).drop("_salt")
+
+
 def doc_ids_mod(col: str, modulus: int):
     """crc32 of the id as text, modulo ``modulus``; null ids count as remainder of the empty string, 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % modulus, F.lit(0).cast("long"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, spread: int | None = None) -> DataFrame:
     """Components of an undirected graph: ``edges(a, b)`` to ``(node, component)``, the least node that it reaches.
 
-    Minimum labels travel along edges and are then shortened through the label
-    of the label, so that paths need a logarithmic number of rounds. Each round
-    is a written table. Null ends and loops are ignored; an empty input gives an
-    empty result.
+    Each round every neighbour of a node, and the node, is tied to the least
+    node next to it: first its greater neighbours (large star), then its smaller
+    ones (small star). Components become stars around their least node in a
+    logarithmic number of rounds, and the number of edges does not grow. The
+    least neighbour is an aggregate with partial sums in every task and goes
+    back to the edges by a salted join, so a node with any number of edges is no
+    task's alone. Each round is a written table. Null ends and loops are
+    ignored; an empty input gives an empty result.
     """
-    both = edges.where("a is not null and b is not null and a <> b").select("a", "b")
-    both = materialise(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    now = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now = materialise(now, "edges")
+    mark = F.xxhash64("a", "b")
+    state = lambda e: tuple(e.agg(F.count("*"), F.bit_xor(mark), F.sum(mark.cast("decimal(38,0)"))).first())
+    was = state(now)
     while True:
-        seen = label.select(F.col("node").alias("b"), F.col("component").alias("c"))
-        near = both.join(seen, "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("near"))
-        moved = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("c"))
-        moved = materialise(moved, "moved")
-        jump = moved.select(F.col("node").alias("c"), F.col("c").alias("further"))
-        new = moved.join(jump, "c").select("node", F.least("c", "further").alias("component"), "was")
-        new = materialise(new, "labels")
-        changed = not new.where("component <> was").isEmpty()
-        release(moved)
-        release(label)
-        label = new
-        if not changed:
-            release(both)
-            out = label.select("node", "component")
-            return out
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
+        large = salted_join(both.where("b > a"), least, ["a"], spread=spread).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialise(large, "large-star")
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        tied = salted_join(large, least, ["a"], spread=spread).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        new = materialise(tied.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
+        release(large, now)
+        is_now = state(new)
+        now, done, was = new, is_now == was, is_now
+        if done:
+            roots = now.select(F.col("b").alias("node")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 
 
 def words(text: str | None) -> list[bytes]:

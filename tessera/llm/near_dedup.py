@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -21,8 +21,8 @@ from . import common
 COLLECTIONS, ROWS = 16, 3
 #: Members of a bucket that are compared with all its others in one round.
 HUBS = 512
-#: 64-bit words of a set's parity bitmap.
-BITMAP = 8
+#: Bits of the smallest parity bitmap.
+BITS = 512
 
 
 def _constants(n: int, name: str) -> np.ndarray:
@@ -91,17 +91,52 @@ def collections_of(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Each element flips one bit, so two bitmaps differ in no more bits than the sets do in elements."""
-    bits = np.bincount((s >> np.uint64(33)).astype(np.int64) % (64 * BITMAP), minlength=64 * BITMAP) & 1
+    """Parities of a set's elements by place: two bitmaps of one length differ in no more bits than their sets do in elements.
+
+    Two to four bits for each element keep that bound close for sets of any size.
+    """
+    m = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    bits = np.bincount((s >> np.uint64(33)).astype(np.int64) & (m - 1), minlength=m) & 1
     return np.packbits(bits.astype(np.uint8)).view("<u8")
 
 
-def possible(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, percent: int) -> np.ndarray:
-    """False only where sizes or bitmaps rule out a Jaccard similarity of ``percent``: a matrix of all n by all m."""
-    total = n[:, None] + m[None, :]
-    fits = 100 * np.minimum(n[:, None], m[None, :]) >= percent * np.maximum(n[:, None], m[None, :])
-    apart = np.bitwise_count(bits[:, None, :] ^ other[None, :, :]).sum(axis=2, dtype=np.int64)
-    return fits & ((100 + percent) * (total - apart) >= 2 * percent * total)
+def _halved(x: np.ndarray) -> np.ndarray:
+    """Bitmaps as they would be with half the places."""
+    half = x.shape[1] // 2
+    return x[:, :half] ^ x[:, half:]
+
+
+def near_size(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """False only where sizes rule out a Jaccard similarity of ``percent``."""
+    return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+
+
+def bits_apart(maps: list[bytes], others: list[bytes]) -> np.ndarray:
+    """At least so many elements are in one set of each pair only; the sizes of a pair are near."""
+    out = np.zeros(len(maps), dtype=np.int64)
+    long_a, long_b = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) // 8 for x in (maps, others))
+    size = np.minimum(long_a, long_b)  # of two near sets one may have a bitmap of twice the length
+    for words in np.unique(size).tolist():
+        some = np.flatnonzero(size == words)
+        step = max(1, (1 << 20) // words)
+        for lo in range(0, len(some), step):
+            part = some[lo : lo + step]
+            both = []
+            for x, length in ((maps, long_a), (others, long_b)):
+                flat = np.empty((len(part), words), dtype="<u8")
+                for twice in (False, True):
+                    at = np.flatnonzero((length[part] > words) == twice)
+                    if len(at):
+                        got = np.frombuffer(b"".join([x[k] for k in part[at].tolist()]), dtype="<u8").reshape(len(at), -1)
+                        flat[at] = _halved(got) if twice else got
+                both.append(flat)
+            out[part] = np.bitwise_count(both[0] ^ both[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def near_bits(total: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """False only where so many elements apart, of a total of both sizes, rule out a Jaccard similarity of ``percent``."""
+    return (100 + percent) * (total - apart) >= 2 * percent * total
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -139,6 +174,8 @@ def _keys(batches):
         for lo in range(0, len(rep), 1000):
             s = sig[lo : lo + 1000]
             key = _mix(_mix(s[:, left] + salt) * np.uint64(5) + s[:, right])
+            # the low 7 bits are the table, so that a key never stands for two of them
+            key = (key & ~np.uint64(127)) | np.arange(len(left), dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([_signed(key.ravel()), pa.array(np.repeat(rep[lo : lo + 1000], len(left)))], ["key", "rep"])
 
 
@@ -162,43 +199,67 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(r), pa.array(h)], ["key", "rep", "hub"])
 
 
-def _by_key(batches, columns: list[str]):
-    """Runs of rows with one key, as arrays, at most one batch long each."""
-    for b in batches:
-        cols = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        bits = np.frombuffer(b"".join(b.column("bits").to_pylist()), dtype="<u8").reshape(-1, BITMAP)
-        edges = [0, *(np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1).tolist(), len(bits)]
-        for lo, hi in zip(edges, edges[1:], strict=False):
-            if hi > lo:
-                yield [c[lo:hi] for c in cols], bits[lo:hi]
+def first_table(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The first table in which signatures agree, row by row: the pair of the first two equal collections; -1 without two."""
+    same = x == y
+    first = same.argmax(axis=1)
+    rest = same.copy()
+    rest[np.arange(len(same)), first] = False
+    second = rest.argmax(axis=1)
+    table = first * (2 * COLLECTIONS - first - 1) // 2 + second - first - 1
+    return np.where(rest.any(axis=1), table, -1)
 
 
-def _cross(hubs: int, percent: int):
-    """Rows by (key, members of the component in the key, component, rep): pairs of the first ``hubs`` rows with rows of other components that may be linked.
+def _cross(percent: int, best: bool):
+    """Rows by (key, salt), those with ``hub`` first: pairs of a hub and any row of another component that may be linked.
 
-    A key's first ``hubs`` rows are held for the rest of it, so memory is bounded for any bucket.
+    best: of a row's pairs in a bucket only the one that seems nearest.
+
+    A pair stands in every bucket that its signatures share; it goes out of the
+    first of these tables alone. Hubs of one key and salt are held while its
+    other rows pass, so memory is bounded for any bucket.
     """
 
+    def pairs(key, held, rows, shift):
+        comp, rep, n, sig, bits = held
+        i, j = np.nonzero((comp[:, None] != rows[0][None, :]) & near_size(n[:, None], rows[2][None, :], percent))
+        if shift is not None:  # these rows are the last of the hubs held: each pair once
+            i, j = i[i < j + shift], j[i < j + shift]
+        some = first_table(sig[i], rows[3][j]) == (key & 127)
+        i, j = i[some], j[some]
+        apart, total = bits_apart([bits[k] for k in i.tolist()], [rows[4][k] for k in j.tolist()]), n[i] + rows[2][j]
+        some = np.flatnonzero(near_bits(total, apart, percent))
+        if best and len(some):
+            some = some[np.lexsort((i[some], apart[some] / total[some], j[some]))]
+            some = some[np.append(True, j[some][1:] != j[some][:-1])]
+        return rep[i[some]], rows[1][j[some]], apart[some] / total[some]
+
     def run(batches):
-        now = None
-        for (key, comp, rep, n), bits in _by_key(batches, ["key", "component", "rep", "n_shingles"]):
-            if key[0] != now:
-                now = key[0]
-                h = [comp[:0], rep[:0], n[:0], bits[:0]]
-            room = hubs - len(h[0])
-            if room > 0:
-                h = [np.concatenate([x, y[:room]]) for x, y in zip(h, (comp, rep, n, bits), strict=True)]
-            out_a, out_b = [], []
-            for lo in range(0, len(rep), 256):
-                part = slice(lo, lo + 256)
-                fits = possible(h[2], h[3], n[part], bits[part], percent) & (h[0][:, None] != comp[part][None, :])
-                i, j = np.nonzero(fits)
-                x, y = h[1][i], rep[part][j]
-                out_a.append(np.minimum(x, y))
-                out_b.append(np.maximum(x, y))
-            a, c = np.concatenate(out_a), np.concatenate(out_b)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c)], ["a", "b"])
+        now, held = None, None
+        for b in batches:
+            key, salt, hub, comp, rep, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "salt", "hub", "component", "rep", "n_shingles"))
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), dtype="<u8").reshape(-1, COLLECTIONS)
+            bits = b.column("bits").to_pylist()
+            new = np.flatnonzero((key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (hub[1:] != hub[:-1])) + 1
+            edges = [0, *new.tolist(), len(key)]
+            found = []
+            for start, end in zip(edges, edges[1:], strict=False):
+                if end == start:
+                    continue
+                if now != (key[start], salt[start]):
+                    now, held = (key[start], salt[start]), None
+                for lo in range(start, end, 256):
+                    hi = min(lo + 256, end)
+                    rows = comp[lo:hi], rep[lo:hi], n[lo:hi], sig[lo:hi], bits[lo:hi]
+                    if hub[lo]:
+                        held = rows if held is None else tuple(x + y if isinstance(x, list) else np.concatenate([x, y]) for x, y in zip(held, rows, strict=True))
+                        if salt[lo] == 0:  # hubs meet each other in this part alone
+                            found.append(pairs(key[lo], held, rows, len(held[0]) - (hi - lo)))
+                    elif held is not None:
+                        found.append(pairs(key[lo], held, rows, None))
+            if sum(len(f[0]) for f in found):
+                x, y, z = (np.concatenate([f[k] for f in found]) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(y), pa.array(z)], ["a", "b", "rep", "apart"])
 
     return run
 
@@ -228,7 +289,7 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: int = HUBS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: int = HUBS, spread: int = 8192) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_shingles, component_id, kept, class_id``, one row for each input row.
 
     Documents are linked if their sets of ``width``-word shingles have a Jaccard
@@ -241,13 +302,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
     table gives an empty result.
 
     Equal sets become one class before any comparison. In the first round each
-    member of a bucket is verified against the bucket's first member; later
-    rounds verify, in every bucket whose members are still in different
-    components, up to ``hubs`` members of its smaller components against all
-    others there, and repeat with the next members until every pair of a bucket
-    has met or shares a component. Sizes and parity bitmaps spare the
-    verification of pairs that they prove to be too far apart. No bucket is capped, and none is expanded
-    into all its pairs where components already join them.
+    class is verified against the least of its buckets' first members. Later
+    rounds look at buckets whose members are still in different components: up
+    to ``hubs`` members of the smaller components meet all others there, until
+    every pair of a bucket has met or shares a component. Of these pairs only
+    those are verified that sizes and bitmaps don't prove to be apart, each at
+    the first table only. The second round takes each member's nearest pair
+    alone, which joins most of a group before all of its pairs are looked at. No bucket is capped, none is expanded into all its
+    pairs where components already join them, and a large one is split over
+    tasks of about ``spread`` rows, each with a copy of the hubs.
     """
     base = common.materialise(docs.select("doc_id", "text").mapInArrow(_sketch(width), "doc_id long, n_shingles long, d1 long, d2 long, sig binary, bits binary"), "sketches")
     full = base.where("n_shingles > 0 and doc_id is not null")
@@ -261,61 +324,64 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, hubs: in
     sets = common.materialise(own.mapInArrow(_sets(width), "rep long, set binary"), "sets")  # an id repeated with other texts has a set for each
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("set_a")), "a")
-        both = with_a.join(sets.select(F.col("rep").alias("b"), F.col("set").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+        left, right = (sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+        with_a = common.salted_join(pairs, left, ["a"], spread=spread)
+        both = common.salted_join(with_a, right, ["b"], spread=spread, counted=pairs).select("a", "b", "set_a", "set_b")
         each = both.mapInArrow(_verify(percent), "a long, b long, linked boolean")
         return common.materialise(each.groupBy("a", "b").agg(F.max("linked").alias("linked")), "verified")
 
-    tested = verify(shared.where("hub <> rep").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    repeated = full.select("doc_id", "d1", "d2", "n_shingles").join(reps.select("d1", "d2", "n_shingles", "rep"), ["d1", "d2", "n_shingles"])
+    first = common.materialise(shared.where("hub <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "pairs")
+    tested = verify(first)
+    common.release(first)
+    name = ["d1", "d2", "n_shingles"]
+    repeated = common.salted_join(full.select("doc_id", *name), reps.select(*name, "rep"), name)
     classes = common.materialise(repeated.select("doc_id", "rep").distinct(), "membership")
     # an id with several texts joins their classes
     extra = classes.join(classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1"), "doc_id").select(F.col("low").alias("a"), F.col("rep").alias("b"))
-    links = tested.where("linked").select("a", "b").union(extra)
-    waiting = shared.select("key", "rep")
+    waiting, best = shared.select("key", "rep"), True
     while True:
-        comps = common.connected_components(links)
-        here = waiting.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        comps = common.connected_components(tested.where("linked").select("a", "b").union(extra))
+        if waiting is None:
+            break
+        here = common.salted_join(waiting, comps.select(F.col("node").alias("rep"), "component"), ["rep"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
         here = common.materialise(here, "waiting")
-        parts = here.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_keys = parts.groupBy("key").agg(F.count("*").alias("c"), (F.sum("n") - F.max("n")).alias("outside")).where("c > 1")
-        rows = here.join(parts, ["key", "component"]).join(open_keys, "key").join(reps.select("rep", "n_shingles", "bits"), "rep")
-        rows = common.materialise(rows.select("key", "n", "component", "rep", "n_shingles", "bits", "outside"), "open")
-        dealt = rows.repartition("key").sortWithinPartitions("key", "n", "component", "rep")
-        pairs = dealt.mapInArrow(_cross(hubs, percent), "a long, b long").distinct()
+        mixed = here.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high").select("key", "size")
+        still = common.materialise(common.salted_join(here, mixed, ["key"]), "mixed")
+        common.release(here)
+        parts = still.groupBy("key", "component").agg(F.count("*").alias("n"))
+        outside = parts.groupBy("key").agg((F.sum("n") - F.max("n")).alias("outside"))
+        parts = parts.join(outside, "key")
+        still = common.materialise(common.salted_join(still, parts, ["key", "component"]), "open")
+        # a limit by rank within a key, which tasks apply to their own rows before these are dealt out
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("n", "component", "rep"))
+        hub = still.select("key", "n", "component", "rep").withColumn("rank", rank).where(F.col("rank") <= hubs).select("key", "rep", F.lit(True).alias("hub"))
+        told = still.join(hub, ["key", "rep"], "left").select("key", "size", "component", "rep", "outside", F.coalesce("hub", F.lit(False)).alias("hub"))
+        told = common.materialise(told, "hubs")
+        common.release(still)
+        share = F.ceil(F.col("size") / spread).cast("int")
+        salts = F.when(F.col("hub"), F.sequence(F.lit(0), share - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), share).cast("int")))
+        dealt = told.select("key", "component", "rep", "hub", F.explode(salts).alias("salt")).join(reps.select("rep", "n_shingles", "sig", "bits"), "rep")
+        dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", F.desc("hub"))
+        pairs = dealt.mapInArrow(_cross(percent, best), "a long, b long, rep long, apart double")
+        if best:
+            pairs = pairs.groupBy("rep").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b")
+        pairs = pairs.select("a", "b").distinct()
         pairs = common.materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty() and rows.where(F.col("outside") > hubs).isEmpty():
+        rest = told if best else told.where((F.col("outside") > hubs) & ~F.col("hub"))
+        waiting, best = None if rest.isEmpty() else common.materialise(rest.select("key", "rep"), "waiting"), False
+        common.release(told)
+        if waiting is None and pairs.isEmpty():
             break
-        fresh = verify(pairs)
-        tested = common.materialise(tested.union(fresh), "verified")
-        if rows.where(F.col("outside") > hubs).isEmpty():
-            comps = common.connected_components(tested.where("linked").select("a", "b").union(extra))
-            break
-        waiting = common.materialise(rows.where(F.col("outside") > hubs).repartition("key").sortWithinPartitions("key", "n", "component", "rep").mapInArrow(_unserved(hubs), "key long, rep long"), "waiting")
-        links = tested.where("linked").select("a", "b").union(extra)
-    named = classes.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+        tested = common.materialise(tested.union(verify(pairs)), "verified")
+    named = common.salted_join(classes, comps.select(F.col("node").alias("rep"), "component"), ["rep"], "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     # ids join whole components: an id's component is the least of its classes'
     of_id = named.groupBy("doc_id").agg(F.min("component").alias("component_id"), F.min("rep").alias("class_id"))
     out = base.select("doc_id", "n_shingles").join(of_id, "doc_id", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.coalesce("component_id", "doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
-
-
-def _unserved(hubs: int):
-    """The rows after the first ``hubs`` of each key."""
-
-    def run(batches):
-        now, k = None, 0
-        for b in batches:
-            keep = []
-            for key in b.column("key").to_pylist():
-                k = k + 1 if key == now else 1
-                now = key
-                keep.append(k > hubs)
-            yield b.select(["key", "rep"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), F.coalesce("class_id", "doc_id").alias("class_id"))
+    common.release(reps, shared, sets, tested)
+    return out
 
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -59,8 +59,8 @@ def test_components_equal_brute_force(spark, make, width):
 
 
 def test_few_hubs_a_round_give_the_same(spark, make):
-    rows = list(enumerate(corpus(9, families=2, size=30, words=30)))
-    got = near_dedup.near_duplicates(make(rows), 2, hubs=2)
+    rows = list(enumerate(corpus(9, families=1, size=16, words=30)[:30]))
+    got = near_dedup.near_duplicates(make(rows), 2, hubs=4)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows, 2)
 
 
@@ -76,16 +76,90 @@ def test_null_and_repeated_ids(spark, make):
 
 def test_pruning_is_sound():
     rng = np.random.default_rng(0)
-    for n in (1, 5, 40, 900):
+    pruned = 0
+    for n in (1, 5, 40, 300, 900, 5000):
         base = rng.integers(0, 2**63, n).astype(np.uint64)
         sets = [np.unique(np.concatenate([base[rng.random(n) < p], rng.integers(0, 2**63, int(n * (1 - p)) + 1).astype(np.uint64)])) for p in (0.7, 0.85, 0.9, 0.95, 1.0)]
-        size, bits = np.array([len(s) for s in sets]), np.array([near_dedup.bitmap(s) for s in sets])
-        fits = near_dedup.possible(size, bits, size, bits, 80)
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
+        i, j = (x.ravel() for x in np.indices((len(sets), len(sets))))
+        size, bits = np.array([len(s) for s in sets]), [near_dedup.bitmap(s).tobytes() for s in sets]
+        fits = near_dedup.near_size(size[i], size[j], 80)
+        i, j = i[fits], j[fits]
+        kept = near_dedup.near_bits(size[i] + size[j], near_dedup.bits_apart([bits[k] for k in i], [bits[k] for k in j]), 80)
+        pruned += int((~kept).sum())
+        may = set(zip(i[kept].tolist(), j[kept].tolist(), strict=True))
+        for x, a in enumerate(sets):
+            for y, b in enumerate(sets):
                 both = len(np.intersect1d(a, b))
                 if 100 * both >= 80 * (len(a) + len(b) - both):
-                    assert fits[i, j]
+                    assert (x, y) in may
+    assert pruned > 10
+
+
+def test_first_shared_table():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 3, (200, near_dedup.COLLECTIONS)).astype(np.uint64)
+    y = rng.integers(0, 3, (200, near_dedup.COLLECTIONS)).astype(np.uint64)
+    left, right = np.triu_indices(near_dedup.COLLECTIONS, 1)
+    for got, a, b in zip(near_dedup.first_table(x, y), x, y, strict=True):
+        shared = [t for t in range(len(left)) if a[left[t]] == b[left[t]] and a[right[t]] == b[right[t]]]
+        assert got == (shared[0] if shared else -1)
+
+
+def test_verified_pairs_grow_with_the_group_and_not_its_square(spark, make, monkeypatch):
+    """One group of near copies at two sizes: the rows of every table of pairs."""
+    made = {}
+    write = common.materialise
+    for size in (100, 400):
+        rng = random.Random(size)
+        vocab = [f"w{i}" for i in range(4000)]
+        base = [rng.choice(vocab) for _ in range(300)]
+        rows = []
+        for _ in range(size):
+            t = list(base)
+            for _ in range(rng.randrange(0, 24)):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            rows.append(" ".join(t))
+        counts = []
+
+        def counted(df, label, counts=counts):
+            out = write(df, label)
+            if label == "pairs":
+                counts.append(out.count())
+            return out
+
+        monkeypatch.setattr(common, "materialise", counted)
+        rows = list(enumerate(rows))
+        got = near_dedup.near_duplicates(make(rows), 2)
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows, 2)
+        made[size] = sum(counts)
+    assert all(n < 5 * size for size, n in made.items()), made
+
+
+def test_a_split_bucket_gives_the_same(spark, make, monkeypatch):
+    """Buckets over several tasks, joins with split keys."""
+    monkeypatch.setattr(common, "SPREAD", 3)
+    rows = list(enumerate(corpus(11, families=1, size=20, words=30)[:40] + ["a b c d e f"] * 12))
+    got = near_dedup.near_duplicates(make(rows), 2, hubs=8, spread=5)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()), key=repr) == brute(rows, 2)
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000, k) for k in range(1001, 1400)] + [(k, k + 1) for k in range(2000, 2100)] + [(None, 5), (7, None), (8, 8)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if None not in (a, b) and a != b:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    got = common.connected_components(spark.createDataFrame(pairs, "a long, b long"), spread=50).collect()
+    assert {r.node: r.component for r in got} == {x: find(x) for x in parent} and len(got) == len(parent)
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_chance_of_sharing_a_table():
