@@ -58,7 +58,8 @@ class BandMatrix:
 
         how: of duplicates, the "last" by the column ``order`` (needed for it), or their "sum". n: a size for all
         matrices, ``(chrom, n)``, or None for the largest index + 1; the sizes are collected by one job, or by none
-        if ``n`` is a dict of them. In-band entries with a negative index, or one beyond a size given as a number, raise.
+        if ``n`` is a dict of them, which spares a pass over the source. Entries with an index outside 0 to n - 1
+        raise; so do those of a matrix that given sizes don't name.
         """
         if d < 1:
             raise ValueError("diag_num must be 1 or more")
@@ -67,18 +68,22 @@ class BandMatrix:
             raise ValueError("'last' needs a column that orders the input; distributed rows have no order of their own")
         value = F.sum("value") if how == "sum" else F.max_by("value", order)
         if isinstance(n, dict):
-            sizes = df.sparkSession.createDataFrame(list(n.items()), "chrom string, n long")
-        elif n is None:
-            sizes = df.groupBy("chrom").agg((F.max(F.greatest("row", "col")) + 1).cast("long").alias("n"))
-        elif isinstance(n, int):
-            sizes = df.select("chrom").distinct().withColumn("n", F.lit(n).cast("long"))
+            meta = make_meta(df.sparkSession, n, d, default_value, default_value)
         else:
-            sizes = n.select("chrom", F.col("n").cast("long").alias("n"))
-        meta = sizes.select("chrom", "n", F.least(F.lit(d).cast("long"), "n").alias("d"), F.lit(float(default_value)).alias("band_fill"), F.lit(float(default_value)).alias("default_value"))
-        meta = local(meta)
-        bad = (F.least("row", "col") < 0) | (F.greatest("row", "col") >= F.lit(n) if isinstance(n, int) else F.lit(False))
-        i = F.when(bad, F.raise_error(F.lit("index out of range"))).otherwise(i).cast("int")
-        cells = df.where(F.abs(F.col("row") - F.col("col")) < d).select("chrom", i.alias("i"), k.alias("k"), *(["value"] if how == "sum" else ["value", order]))
+            if n is None:
+                sizes = df.groupBy("chrom").agg((F.max(F.greatest("row", "col")) + 1).cast("long").alias("n"))
+            elif isinstance(n, int):
+                sizes = df.select("chrom").distinct().withColumn("n", F.lit(n).cast("long"))
+            else:
+                sizes = n.select("chrom", F.col("n").cast("long").alias("n"))
+            meta = local(sizes.select("chrom", "n", F.least(F.lit(d).cast("long"), "n").alias("d"), F.lit(float(default_value)).alias("band_fill"), F.lit(float(default_value)).alias("default_value")))
+        if n is None or isinstance(n, int):
+            size, rows = F.lit(n) if n is not None else F.lit(2**62), df
+        else:
+            size, rows = F.coalesce("_size", F.lit(0)), df.join(F.broadcast(meta.select("chrom", F.col("n").alias("_size"))), "chrom", "left")
+        bad = (F.least("row", "col") < 0) | (F.greatest("row", "col") >= size)
+        near = F.abs(F.col("row") - F.col("col")) < d
+        cells = rows.where(F.when(bad, F.raise_error(F.lit("index out of range")).cast("boolean")).otherwise(near)).select("chrom", i.alias("i"), k.alias("k"), *(["value"] if how == "sum" else ["value", order]))
         cells = cells.groupBy(*KEY).agg(value.alias("v")).withColumn("masked", F.lit(False))
         return BandMatrix(cells, meta)
 
@@ -201,7 +206,8 @@ class BandMatrix:
 
     def get_mask(self) -> DataFrame:
         """(chrom, i, k) of all masked in-band cells, whether by themselves or by a bin."""
-        return self.band().where("v is null").select(*KEY)
+        own = self.cells.where("masked").select(*KEY)
+        return own if self.bins is None else own.union(self._of_bins().select("chrom", F.col("r").alias("i"), "k")).distinct()
 
     def get_mask_bins(self) -> DataFrame:
         return self.meta.select("chrom").where(F.lit(False)).withColumn("i", F.lit(0)) if self.bins is None else self.bins
@@ -210,10 +216,18 @@ class BandMatrix:
         """(chrom, k, touched): in-band upper-triangle cells of each diagonal with a masked bin."""
         if self.bins is None:
             return self.meta.select("chrom", F.lit(0).alias("k"), F.lit(0).cast("long").alias("touched")).where(F.lit(False))
+        return self._of_bins().groupBy("chrom", "k").agg(F.count("*").alias("touched"))
+
+    def _of_bins(self) -> DataFrame:
+        """(chrom, r, k): in-band upper-triangle cells of masked bins."""
         b = self.bins.join(self.meta, "chrom")
         as_left = b.select("chrom", F.col("i").alias("r"), F.explode(F.sequence(F.lit(0), (F.least("d", F.col("n") - F.col("i")) - 1).cast("int"))).alias("k"))
         as_right = b.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.col("d") - 1, F.col("i")).cast("int")))).select("chrom", (F.col("i") - F.col("k")).alias("r"), "k")
-        return as_left.union(as_right).distinct().groupBy("chrom", "k").agg(F.count("*").alias("touched"))
+        return as_left.union(as_right).distinct()
+
+    def _largest(self, column: str) -> float:
+        """The largest size, band or fill of the matrices; meta is local rows, so this runs no job."""
+        return max((r[0] for r in self.meta.select(column).collect()), default=0)
 
     def counts(self) -> DataFrame:
         """One row for each matrix: masked, unmasked, in-band masked, out-of-band masked, in-band and out-of-band cells of both triangles."""
@@ -271,12 +285,15 @@ class BandMatrix:
 
     def where(self, condition: DataFrame) -> DataFrame:
         """Unmasked in-band upper-triangle cells (chrom, i, k, v) at which ``condition(chrom, i, k)`` has a row."""
-        return self.band().where("v is not null").join(condition.select(*KEY), KEY, "left_semi").select(*KEY, "v")
+        at = condition.select("chrom", F.col("i").cast("int").alias("i"), F.col("k").cast("int").alias("k")).distinct().join(self.meta, "chrom")
+        at = at.where((F.col("k") >= 0) & (F.col("i") >= 0) & (F.col("k") < F.col("d")) & (F.col("i") + F.col("k") < F.col("n")))
+        hit = self.flagged(at.join(self.cells, KEY, "left")).where(~(F.coalesce("masked", F.lit(False)) | F.col("bin_masked")))
+        return hit.select(*KEY, F.coalesce("v", "band_fill").alias("v"))
 
     def diag(self, k: int) -> DataFrame:
-        """(chrom, i, value) of diagonal k."""
-        if k < 0:
-            raise ValueError("diagonals count from 0")
+        """(chrom, i, value) of diagonal k; no rows of matrices that store fewer, and an error if all do."""
+        if k < 0 or k >= self._largest("d"):
+            raise ValueError("diagonals count from 0 to d - 1")
         every = self.rows().where((F.col("i") + k < F.col("n")) & (F.lit(k) < F.col("d"))).withColumn("k", F.lit(k))
         out = self.flagged(every.join(self.cells.where(F.col("k") == k), KEY, "left"))
         return out.select("chrom", "i", F.when(F.coalesce("masked", F.lit(False)) | F.col("bin_masked"), None).otherwise(F.coalesce("v", "band_fill")).alias("value"))
@@ -321,17 +338,20 @@ class BandMatrix:
     def set_values(self, at: DataFrame) -> BandMatrix:
         """Upsert ``at(chrom, row, col, value)``; out-of-band entries are ignored, masked cells change and stay masked.
 
-        Of several values for a cell the largest is taken: rows of a table have no order.
+        An index outside 0 to n - 1 raises, as does a matrix that is not there. Of several values for a cell the largest is taken: rows of a table have no order.
         """
-        new = at.select("chrom", F.least("row", "col").cast("int").alias("i"), F.abs(F.col("row") - F.col("col")).cast("int").alias("k"), F.col("value").cast("double").alias("new"))
-        new = new.groupBy(*KEY).agg(F.max("new").alias("new")).join(self.meta, "chrom").where((F.col("k") < F.col("d")) & (F.col("i") + F.col("k") < F.col("n"))).select(*KEY, "new")
+        near = at.select("chrom", "row", "col", F.col("value").cast("double").alias("new")).join(F.broadcast(self.meta), "chrom", "left")
+        bad = F.col("n").isNull() | (F.least("row", "col") < 0) | (F.greatest("row", "col") >= F.col("n"))
+        k = F.abs(F.col("row") - F.col("col"))
+        near = near.where(F.when(bad, F.raise_error(F.lit("index out of range")).cast("boolean")).otherwise(k < F.col("d")))
+        new = near.groupBy("chrom", F.least("row", "col").cast("int").alias("i"), k.cast("int").alias("k")).agg(F.max("new").alias("new"))
         out = self.cells.join(new, KEY, "full")
         return self._with(out.select(*KEY, F.coalesce("new", "v").alias("v"), F.coalesce("masked", F.lit(False)).alias("masked")))
 
     def set_diag(self, k: int, value: float | DataFrame) -> BandMatrix:
         """Replace diagonal k by a number or by ``(chrom, i, value)``, which must have all its n - k rows."""
-        if k < 0:
-            raise ValueError("diagonals count from 0")
+        if k < 0 or k >= self._largest("d"):
+            raise ValueError("diagonals count from 0 to d - 1")
         at = self.rows().where((F.col("i") + k < F.col("n")) & (F.lit(k) < F.col("d")))
         if isinstance(value, (int, float)):
             at = at.withColumn("value", F.lit(float(value)))
@@ -376,8 +396,11 @@ class BandMatrix:
 
     def tocoo(self, drop_zeros: bool = True) -> DataFrame:
         """(chrom, row, col, value) of unmasked upper-triangle in-band cells; without ``drop_zeros`` the whole band."""
-        b = self.band().where("v is not null")
-        b = b.where("v <> 0") if drop_zeros else b
+        if drop_zeros and not any(r[0] for r in self.meta.select("band_fill").collect()):
+            b = self.flagged().where("not masked and not bin_masked and v <> 0")  # cells that are not stored are 0
+        else:
+            b = self.band().where("v is not null")
+            b = b.where("v <> 0") if drop_zeros else b
         return b.select("chrom", F.col("i").alias("row"), (F.col("i") + F.col("k")).alias("col"), F.col("v").alias("value"))
 
     def tocsr(self) -> DataFrame:
@@ -401,9 +424,18 @@ class BandMatrix:
 
     def equals(self, other: BandMatrix) -> DataFrame:
         """(chrom, equal): sizes, default, masked cells and unmasked values of both, whatever is stored."""
-        a = self.band().select(*KEY, F.struct("v").alias("a"))
-        b = other.band().select(*KEY, F.struct("v").alias("b"))
-        same = a.join(b, KEY, "full").groupBy("chrom").agg(F.min(F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.v").eqNullSafe(F.col("b.v"))).alias("same"))
+        fills = [{r["chrom"]: r["band_fill"] for r in m.meta.select("chrom", "band_fill").collect()} for m in (self, other)]
+        if fills[0] == fills[1]:  # cells stored in neither agree, unless bins differ, which is told below
+            x, y = (m.flagged().select(*KEY, F.struct(F.when(~(F.col("masked") | F.col("bin_masked")), F.col("v")).alias("v"), "bin_masked").alias(c)) for m, c in ((self, "a"), (other, "b")))
+            both = x.join(y, KEY, "full").join(F.broadcast(self.meta.select("chrom", "band_fill")), "chrom")
+            value = lambda c, o: F.when(F.col(c).isNull(), F.when(~F.col(f"{o}.bin_masked"), F.col("band_fill"))).otherwise(F.col(f"{c}.v"))
+            agree = value("a", "b").eqNullSafe(value("b", "a"))
+        else:
+            a = self.band().select(*KEY, F.struct("v").alias("a"))
+            b = other.band().select(*KEY, F.struct("v").alias("b"))
+            both = a.join(b, KEY, "full")
+            agree = F.col("a").isNotNull() & F.col("b").isNotNull() & F.col("a.v").eqNullSafe(F.col("b.v"))
+        same = both.groupBy("chrom").agg(F.min(agree).alias("same"))
         o = other.meta.select("chrom", F.struct("n", "d", "default_value").alias("o"))
         m = self.meta.select("chrom", F.struct("n", "d", "default_value").alias("m"))
         bins = self.get_mask_bins().select("chrom", "i", F.lit(1).alias("x")).join(other.get_mask_bins().select("chrom", "i", F.lit(1).alias("y")), ["chrom", "i"], "full")

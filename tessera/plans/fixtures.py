@@ -30,7 +30,8 @@ def events_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, d: int = D) -> BandMatrix:
     """Five matrices, one for each event type; unstored cells are 0."""
-    return BandMatrix.from_coo(events_coo(spark, sf_dir), d, N, how="sum")
+    kinds = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type").distinct().collect()  # sizes by a scan of one column
+    return BandMatrix.from_coo(events_coo(spark, sf_dir), d, {r[0]: N for r in kinds}, how="sum")
 
 
 def masked_events(spark: SparkSession, sf_dir: str) -> BandMatrix:
@@ -53,4 +54,4 @@ def parts(spark: SparkSession, sf_dir: str, d: int | None = None) -> BandMatrix:
     none = _pairs(same, ["l_orderkey", "l_linenumber"]).select(F.col("x").alias("row"), F.col("y").alias("col"), (-F.col("v")).alias("v"))
     coo = every.union(none).groupBy("row", "col").agg(F.sum("v").cast("double").alias("value")).where("value <> 0").withColumn("chrom", F.lit("parts"))
     n = (spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.max("p_partkey").alias("m")).first()["m"] or 0) // 20 + 1
-    return BandMatrix.from_coo(coo, n if d is None else d, n, how="sum")
+    return BandMatrix.from_coo(coo, n if d is None else d, {"parts": n}, how="sum")

@@ -316,7 +316,7 @@ _GROUPS = {
     "uf_bitwise": [*(x for x in BINARY if x in _LONG), "invert"],
     "uf_unary": [x for x in UNARY if x not in _BOOLEAN | _LONG],
 }
-_AB = f"(select chrom, i pi, k pk, v - 3.5 a, (i * 7 + k * 3) % 13 - 6.5 b, v::bigint - 3 i, ((i * 7 + k * 3) % 13)::bigint - 6 j from plain where k < 6)"
+_AB = f"(select chrom, i pi, k pk, v - 3.5 a, (i * 7 + k * 3) % 13 - 6.5 b, v::bigint - 3 i, ((i * 7 + k * 3) % 13)::bigint - 6 j from plain)"
 
 
 def _group(name: str, names: list[str]) -> None:
@@ -329,7 +329,7 @@ def _group(name: str, names: list[str]) -> None:
 
     @_query(name, f"select chrom, pi i, pk k, {', '.join(cols)} from {_AB}")
     def _(spark, d):
-        p = events(spark, d, 6).band()
+        p = events(spark, d).band()
         a, b = F.col("v") - 3.5, (F.col("i") * 7 + F.col("k") * 3) % 13 - 6.5
         i, j = F.col("v").cast("long") - 3, ((F.col("i") * 7 + F.col("k") * 3) % 13).cast("long") - 6
         p = p.select("chrom", F.col("i").cast("long").alias("i"), F.col("k").cast("long").alias("k"), a.alias("a"), b.cast("double").alias("b"), i.alias("x"), j.alias("y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,19 @@ def load_npz(spark: SparkSession, path: str) -> BandMatrix:
     name = lambda p: p.rsplit("/", 1)[-1].removesuffix(".npz")
 
     def read(content: bytes):
-        z = np.load(io.BytesIO(content), allow_pickle=True)
-        data = z["data"]
-        mask, bins = (x if x.dtype == bool else None for x in (z["mask"], z["mask_row_col"]))
-        return data, mask, bins, float(z["default_value"])
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+
+            def member(key: str):
+                """An array, or None for a member of objects, which stands for no mask; objects are never unpickled."""
+                with z.open(f"{key}.npy") as f:
+                    version = np.lib.format.read_magic(f)
+                    _, _, dtype = (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+                if dtype.hasobject:
+                    return None
+                with z.open(f"{key}.npy") as f:
+                    return np.lib.format.read_array(f, allow_pickle=False)
+
+            return member("data"), member("mask"), member("mask_row_col"), float(member("default_value"))
 
     def cells(batches):
         for b in batches:
@@ -71,9 +81,10 @@ def save_npz(m: BandMatrix, chrom: str, path: str) -> None:
     n, d = meta["n"], meta["d"]
     data = np.full((n, d), meta["band_fill"])
     mask = np.add.outer(np.arange(n), np.arange(d)) >= n
-    for r in m.cells.where(F.col("chrom") == chrom).toLocalIterator():
-        data[r["i"], r["k"]] = r["v"]
-        mask[r["i"], r["k"]] |= r["masked"]
+    got = m.cells.where(F.col("chrom") == chrom).select("i", "k", F.col("v").cast("double").alias("v"), "masked").toArrow()
+    i, k, v, masked = (got.column(c).to_numpy() for c in ("i", "k", "v", "masked"))
+    data[i, k] = v
+    mask[i, k] |= masked.astype(bool)
     bins = np.zeros(n, dtype=bool)
     bins[[r["i"] for r in m.get_mask_bins().where(F.col("chrom") == chrom).collect()]] = True
     for k in range(d):

@@ -176,3 +176,41 @@ def test_pixels(spark):
     raw = readers.from_pixels(pixels, bins, 3, balance=False)
     assert {(r["chrom"], r["i"], r["k"]): r["v"] for r in raw.cells.where("chrom = '1'").collect()}[("1", 0, 2)] == 9.0
     assert raw.shape() == {"1": (3, 3), "2": (1, 1)} and isinstance(raw, BandMatrix)
+
+
+def test_extremes_follow_the_rule_segment_by_segment():
+    rng = np.random.default_rng(3)
+    seen = 0
+    for _ in range(200):
+        n = int(rng.integers(4, 60))
+        means = np.round(np.cumsum(rng.normal(size=n)), int(rng.integers(0, 3)))
+        got = tad.local_extremes(means)
+        y = tad._rescaled(means)
+        cp = tad.change_points(tad._rescaled(np.arange(n, dtype=float)), y)
+        want = {}
+        if 2 < len(cp) < n:
+            for p in cp[1:-1]:
+                if y[p] >= max(y[p - 1], y[p + 1]):
+                    want[p] = 1
+                elif y[p] < min(y[p - 1], y[p + 1]):
+                    want[p] = -1
+            for a, b in list(zip(cp, cp[1:], strict=False))[:-1]:
+                low, high = min(range(a, b), key=lambda i: (y[i], i)), min(range(a, b), key=lambda i: (-y[i], i))
+                if y[low] < min(y[a], y[b]):
+                    want[low] = -1
+                if y[high] > max(y[a], y[b]):
+                    want[high] = 1
+        assert {i: v for i, v in enumerate(got) if v} == want
+        seen += len(want)
+    assert seen > 500
+
+
+def test_equilibrate_dense():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 60):
+        a = rng.random((n, n)) * 10 ** rng.integers(-3, 4, (n, 1)).astype(float)
+        a = a + a.T + np.eye(n)
+        x = balance.equilibrate(lambda p, a=a: a @ p, n)
+        np.testing.assert_allclose(x * (a @ x), 1, atol=1e-6)
+    with np.errstate(all="ignore"):
+        assert not np.isfinite(balance.equilibrate(lambda p: np.array([0.0, p[1]]), 2)).all()

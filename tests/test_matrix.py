@@ -271,3 +271,24 @@ def test_ufuncs_follow_numpy(spark):
                 if n in ("left_shift", "right_shift"):
                     ok = ib >= 0
                 np.testing.assert_allclose(mine[ok], want.astype(float)[ok], rtol=1e-9, atol=1e-12, err_msg=n)
+
+
+def test_indices_out_of_range_raise(spark):
+    m = BandMatrix.zeros(spark, {"c": 4}, 2)
+    for row, col in ((-1, 0), (0, -1), (4, 0), (3, 4), (9, 9)):
+        at = spark.createDataFrame([("c", row, col, 5.0)], "chrom string, row int, col int, value double")
+        with pytest.raises(Exception, match="index out of range"):
+            m.set_values(at).cells.collect()
+        for n in (4, {"c": 4}, spark.createDataFrame([("c", 4)], "chrom string, n long")):
+            with pytest.raises(Exception, match="index out of range"):
+                BandMatrix.from_coo(at, 2, n, how="sum").cells.collect()
+    unknown = spark.createDataFrame([("x", 0, 0, 5.0)], "chrom string, row int, col int, value double")
+    with pytest.raises(Exception, match="index out of range"):
+        m.set_values(unknown).cells.collect()
+    far = spark.createDataFrame([("c", 0, 3, 5.0), ("c", 3, 3, 2.0), ("c", 1, 0, 3.0)], "chrom string, row int, col int, value double")
+    assert sorted((r["i"], r["k"], r["v"]) for r in m.set_values(far).cells.collect()) == [(0, 1, 3.0), (3, 0, 2.0)]
+    for k in (-1, 2, 7):
+        with pytest.raises(ValueError):
+            m.diag(k)
+        with pytest.raises(ValueError):
+            m.set_diag(k, 1.0)
