@@ -3,15 +3,17 @@
 Terms are all words of the examples and their beginnings; words that no example
 has count in the length of a document's vector. A term's weight is its TF-IDF
 times how much more common it is in toxic examples, and never zero. The index
-holds a bounded sample of labelled documents and is sent to every task; each
-document is a query whose terms are added up in the order of an upper bound
-until no example but a few candidates can be among the nearest, and these are
-scored in full, so the nearest are exact.
+holds a bounded sample of labelled documents and is sent to every task. Each
+document is a query: postings of rare terms are added up first, then those of
+frequent terms, block by block of examples, where the largest weights of a block
+leave room for a nearer example than those found; what comes within rounding of
+the nearest is scored in full, so the nearest are exact.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from itertools import chain
@@ -24,11 +26,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled documents in the index, neighbours, examples in a block, examples of a term that has bounds by block, candidates scored in full.
-EXAMPLES, NEIGHBOURS, BLOCK, FREQUENT, CANDIDATES = 20_000, 15, 64, 256, 60
+#: Labelled documents in the index, neighbours, examples in a block, queries at a time.
+EXAMPLES, NEIGHBOURS, BLOCK, QUERIES_AT_ONCE = 8_192, 15, 256, 64
+#: A term is frequent if at least so many examples have it, and one in so many.
+FREQUENT, ONE_IN = 64, 32
+#: More than the rounding of sums in single precision.
+MARGIN = 1e-4
 #: Factor of terms that are no more common in toxic examples; examples' worth of the prior in that comparison.
 FLOOR, SHRINK = 0.1, 16.0
-PREFIXES = (4, 5, 6)
+PREFIXES = (5,)
 MARKS = b".,!?;:*%&$#|()[]\"'<>-_"
 OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int>>"
 
@@ -54,9 +60,18 @@ class _Numbers(dict):
         return v
 
 
+_numbers = _Numbers()
+common.register_cache("toxicity", _numbers.clear)
+
+
 def text_terms(text: str | None, numbers: _Numbers) -> tuple[np.ndarray, np.ndarray]:
     """Distinct term numbers of a text, in order, and how often each occurs."""
-    return np.unique(np.fromiter(chain.from_iterable(map(numbers.__getitem__, common.words(text))), dtype=np.uint64), return_counts=True)
+    words = Counter(common.words(text))
+    each = [numbers[w] for w in words]
+    n = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+    found, at = np.unique(np.fromiter(chain.from_iterable(each), dtype=np.uint64, count=int(n.sum())), return_inverse=True)
+    often = np.repeat(np.fromiter(words.values(), dtype=np.int64, count=len(words)), n)
+    return found, np.bincount(at, often, len(found)).astype(np.int64)
 
 
 def _spans(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,7 +102,7 @@ class Index:
         return self.__dict__ | {"postings": None, "query": None, "sent": None}
 
     def by_term(self) -> tuple:
-        """Starts of terms in rows and weights, these two, the largest weight of each term, and for terms of many examples their row in the largest weights by block."""
+        """Starts of terms in rows and weights; these two; each term's place among the frequent, or -1; weights of frequent terms by example, and their largest by block; examples in the order of rows, and the rows of examples."""
         if self.postings is None:
             n, v = len(self.ids), len(self.terms)
             weights = (1 + np.log(self.own_counts, dtype=np.float32)) * self.factor.astype(np.float32)[self.own_terms]
@@ -98,16 +113,26 @@ class Index:
             del order
             df = np.bincount(self.own_terms, minlength=v)
             starts = np.concatenate([[0], np.cumsum(df)]).astype(np.int64)
-            most = np.maximum.reduceat(weights, starts[:-1]) * (1 + 1e-6) if v else np.zeros(0)
-            most[df == 0] = 0
-            often = np.flatnonzero(df >= FREQUENT)
+            often = np.flatnonzero(df >= max(FREQUENT, n / ONE_IN))
             frequent = np.full(v, -1, dtype=np.int32)
             frequent[often] = np.arange(len(often))
-            block_max = np.zeros((len(often), max(1, -(-n // BLOCK))), dtype=np.float32)
+            # examples alike stand in one block: in the order of their commonest term, then of the next
+            rank = np.zeros(v, dtype=np.int64)
+            rank[np.argsort(-df, kind="stable")] = np.arange(v)
+            lead = np.full((n, 3), v, dtype=np.int64)
+            for i in range(n):
+                own = np.sort(rank[self.own_terms[self.edges[i] : self.edges[i + 1]]])[:3]
+                lead[i, : len(own)] = own
+            order = np.lexsort(lead.T[::-1])
+            slot = np.empty(n, dtype=np.int32)
+            slot[order] = np.arange(n, dtype=np.int32)
+            rows = slot[rows]
+            blocks = max(1, -(-n // BLOCK))
+            by_block = np.zeros((blocks, len(often), BLOCK), dtype=np.float32)
             for j, t in enumerate(often):
-                lo, hi = starts[t], starts[t + 1]
-                np.maximum.at(block_max[j], rows[lo:hi] // BLOCK, weights[lo:hi])
-            self.postings = starts, rows, weights, most, frequent, block_max
+                r = rows[starts[t] : starts[t + 1]]
+                by_block[r // BLOCK, j, r % BLOCK] = weights[starts[t] : starts[t + 1]]
+            self.postings = starts, rows, weights, frequent, by_block, by_block.max(axis=2), order, slot
         return self.postings
 
     def known(self, numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,41 +170,56 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a positive cosine; the earlier example of equal ones first."""
-        n = len(self.ids)
-        if not len(t) or not n:
-            return np.empty(0, dtype=np.int64), np.empty(0)
-        starts, rows, weights, most, frequent, block_max = self.by_term()
-        bound = w * most[t]
-        order = np.argsort(-bound, kind="stable")
-        left = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
-        sums = np.zeros(n)
-        if without >= 0:
-            sums[without] = -4.0
-        done, step = 0, 24
-        while True:
-            part = order[done : done + step]
-            lo = starts[t[part]]
-            size = starts[t[part] + 1] - lo
-            at = _spans(lo, size)
-            sums += np.bincount(rows[at], np.repeat(w[part], size) * weights[at], n)
-            done, step = done + len(part), step * 2
-            edge = float(np.partition(sums, n - k)[n - k]) - 1e-5 if n > k else -1.0
-            if done == len(order):
-                some = np.flatnonzero(sums > max(edge, 0.0)) if edge > 0 else np.flatnonzero(sums > 0)
-                break
-            if edge < left[done] * 0.5:
+        return self.nearest_of([(t, w)], k, [without])[0]
+
+    def nearest_of(self, queries: list, k: int = NEIGHBOURS, without: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of several queries, some at a time."""
+        out = []
+        for lo in range(0, len(queries), QUERIES_AT_ONCE):
+            out += self._nearest_of(queries[lo : lo + QUERIES_AT_ONCE], k, None if without is None else without[lo : lo + QUERIES_AT_ONCE])
+        return out
+
+    def _nearest_of(self, queries: list, k: int, without: list | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, m = len(self.ids), len(queries)
+        if not n:
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * m
+        starts, rows, weights, frequent, by_block, most, order, slot = self.by_term()
+        sums = np.zeros((m, len(by_block) * BLOCK), dtype=np.float32)
+        often = np.zeros((m, by_block.shape[1]), dtype=np.float32)
+        for q, (t, w) in enumerate(queries):
+            place = frequent[t]
+            often[q, place[place >= 0]] = w[place >= 0]
+            rare = t[place < 0]
+            size = starts[rare + 1] - starts[rare]
+            at = _spans(starts[rare], size)
+            if len(at):
+                sums[q, :n] = np.bincount(rows[at], np.repeat(w[place < 0], size) * weights[at], n)
+            if without is not None and without[q] >= 0:
+                sums[q, slot[without[q]]] = -8.0
+        # block by block, those with the greatest bounds first; a query skips blocks that hold nothing nearer than its k-th
+        parts = sums.reshape(m, len(by_block), BLOCK)
+        bound = parts.max(axis=2) + often @ most.T + MARGIN
+        best = np.zeros((m, k), dtype=np.float32)
+        passed = np.zeros((m, len(by_block)), dtype=bool)
+        for block in np.argsort(-bound.max(axis=0), kind="stable"):
+            some = np.flatnonzero(bound[:, block] >= best.min(axis=1))
+            if not len(some):
                 continue
-            rest = order[done:]
-            row = frequent[t[rest]]
-            by_block = w[rest[row >= 0]] @ block_max[row[row >= 0]] + bound[rest[row < 0]].sum()
-            some = np.flatnonzero(sums + by_block.repeat(BLOCK)[:n] >= edge)
-            if edge > 0 and len(some) <= CANDIDATES:
-                break
-        some = some[some != without]
-        s = self.cosines(some, t, w)
-        some, s = some[s > 0], s[s > 0]
-        best = np.lexsort((some, -s))[:k]
-        return some[best], s[best]
+            passed[some, block] = True
+            parts[some, block] += often[some] @ by_block[block]
+            both = np.concatenate([best[some], parts[some, block]], axis=1)
+            best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        edge = best.min(axis=1) - MARGIN
+        out = []
+        for q, (t, w) in enumerate(queries):
+            near = parts[q] > max(edge[q], 0.0)
+            near[~passed[q]] = False
+            some = np.sort(order[np.flatnonzero(near.ravel()[:n])])
+            s = self.cosines(some, t, w)
+            some, s = some[s > 0], s[s > 0]
+            first = np.lexsort((some, -s))[:k]
+            out.append((some[first], s[first]))
+        return out
 
     def vote(self, i: np.ndarray, s: np.ndarray) -> float:
         """Share of toxic examples, weighted by the inverse distance, with the prior as one more vote of weight 0.1."""
@@ -241,9 +281,9 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
     one = common.materialise(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.max("toxic").alias("most")), "digests")
 
     def run(batches):
-        numbers = _Numbers()
+        common.use_caches("toxicity")
         for b in common.slices(batches, 256):
-            got = [text_terms(t, numbers) for t in b.column("text").to_pylist()]
+            got = [text_terms(t, _numbers) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), b.column("digest"), pa.array([h.tobytes() for h, _ in got], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in got], pa.binary())], ["doc_id", "toxic", "digest", "h", "c"])
 
     # repeated rows of an id with one text give the same terms: the first stands for all
@@ -282,7 +322,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, modulus: i
             ix = sent.value
             for b in batches:
                 i = b.column("id").to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*ix.nearest(*ix.example(k), without=k)) for k in i], pa.float64())], ["id", "vote"])
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([ix.vote(*x) for x in ix.nearest_of([ix.example(k) for k in i], without=i)], pa.float64())], ["id", "vote"])
 
         votes = spark.range(0, len(toxic), 1, max(1, min(len(toxic) // 256, 32))).mapInArrow(left_out, "id long, vote double").toArrow().sort_by("id").column("vote").to_numpy()
         index.curve = _calibrate(votes, toxic)
@@ -302,20 +342,19 @@ def score(docs: DataFrame, index: Index, threshold: float = 0.3, modulus: int =
 
     def run(batches):
         ix = sent.value
-        numbers = _Numbers()
+        common.use_caches("toxicity")
         seen: dict = {}
-        for b in common.slices(batches):
-            scores, evidence = [], []
-            for text in b.column("text").to_pylist():
-                key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    i, s = ix.nearest(*ix.known(*text_terms(text, numbers)))
-                    z = curve[0] * ix.vote(i, s) + curve[1]
-                    seen[key] = float(1 / (1 + np.exp(-z))), [{"example": int(ix.ids[j]), "cosine": float(x), "toxic": int(ix.toxic[j])} for j, x in zip(i[:3], s, strict=False)]
-                scores.append(seen[key][0])
-                evidence.append(seen[key][1])
+        for b in common.slices(batches, 512):
+            texts = b.column("text").to_pylist()
+            keys = [hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for text in texts]
+            if len(seen) > 50_000:
+                seen.clear()
+            new = {key: i for i, key in enumerate(keys) if key not in seen}
+            found = ix.nearest_of([ix.known(*text_terms(texts[i], _numbers)) for i in new.values()])
+            for key, (i, s) in zip(new, found, strict=True):
+                z = curve[0] * ix.vote(i, s) + curve[1]
+                seen[key] = float(1 / (1 + np.exp(-z))), [{"example": int(ix.ids[j]), "cosine": float(x), "toxic": int(ix.toxic[j])} for j, x in zip(i[:3], s, strict=False)]
+            scores, evidence = [seen[key][0] for key in keys], [seen[key][1] for key in keys]
             kind = pa.list_(pa.struct([("example", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(x >= threshold) for x in scores], pa.int32()), pa.array(evidence, kind)], ["doc_id", "held_out", "score", "predicted", "evidence"])
 
