@@ -1,6 +1,9 @@
 """Quality rules: text statistics, plain limits, and an isolation forest on the statistics.
 
-Labelled rows calibrate from which anomaly score a document is rejected.
+The forest's path lengths tell how anomalous a document is, and its splits by
+which statistic. For each statistic, labelled rows calibrate from which anomaly
+score the documents isolated by it are rejected: much repetition may be common
+in good texts where few symbols are not.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ from . import common
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines")
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, kept boolean"
-#: Rows from which trees are grown, and labelled rows for the threshold, at most.
-FOREST_ROWS, LABELLED_ROWS = 20_000, 20_000
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, anomaly double, isolated_by string, kept boolean"
+#: Labelled rows for the thresholds, at most; trees, and rows that each is grown from.
+LABELLED_ROWS = 20_000
 TREES, PER_TREE = 100, 256
 
 
@@ -51,36 +54,36 @@ def base_failed(n_words, n_repeat_words, min_words: int = 50, max_repeat: int =
     return (n_words < min_words) | (100 * n_repeat_words > max_repeat * n_words)
 
 
-#: Customary limits of the rules: symbols a word, repeated lines, words in repeated windows, capitals a character, ! and ? a word.
-LIMITS = np.array([0.1, 0.3, 0.4, 0.3, 0.2])
+#: What the forest sees of a text.
+FEATURES = ("log_words", "word_length", "symbols", "dup_lines", "repeat_words", "capitals", "marks")
 
 
 def features(stats: np.ndarray) -> np.ndarray:
-    """By how much each rate is over its limit.
-
-    Rates don't depend on the length of a text. Texts within all limits are one
-    point, which no split divides, so what the forest isolates is the amount and
-    the mixture of excess and not the ordinary spread of good texts.
-    """
+    """The columns of FEATURES: the logarithm of words, characters a word, and the raw rates of the other statistics."""
     s = np.asarray(stats, dtype=float).reshape(-1, len(STATS))
     words, chars, lines = (np.maximum(s[:, k], 1) for k in (0, 1, 7))
-    return np.maximum(np.column_stack([s[:, 2] / words, s[:, 3] / lines, s[:, 4] / words, s[:, 5] / chars, s[:, 6] / words]) - LIMITS, 0.0)
+    return np.column_stack([np.log(words), s[:, 1] / words, s[:, 2] / words, s[:, 3] / lines, s[:, 4] / words, s[:, 5] / chars, s[:, 6] / words])
 
 
 @dataclass
 class Forest:
-    """Isolation trees as arrays: split feature (-1 in leaves), threshold, left child (right is next), leaf path length."""
+    """Isolation trees as arrays: split feature (-1 in leaves), threshold, left child (right is next), leaf path length, and how many halvings of the rows lead into a node."""
 
     feature: np.ndarray
     cut: np.ndarray
     left: np.ndarray
     path: np.ndarray
+    gain: np.ndarray
     depth: int
     scale: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / expected path): towards 1 for rows that few splits isolate."""
-        out = np.empty(len(x))
+        return self.explain(x)[0]
+
+    def explain(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and the feature whose splits left most rows behind on the paths of each row; the first of equal ones."""
+        out, by = np.empty(len(x)), np.zeros((len(x), x.shape[1]))
         trees = np.arange(len(self.feature))[None, :]
         for lo in range(0, len(x), 2048):
             part = x[lo : lo + 2048]
@@ -89,8 +92,11 @@ class Forest:
                 f = self.feature[trees, at]
                 go = np.take_along_axis(part, np.maximum(f, 0), axis=1) >= self.cut[trees, at]
                 at = np.where(f >= 0, self.left[trees, at] + go, at)
+                gain = self.gain[trees, at]
+                for j in range(x.shape[1]):
+                    by[lo : lo + 2048, j] += np.where(f == j, gain, 0.0).sum(axis=1)
             out[lo : lo + 2048] = self.path[trees, at].mean(axis=1)
-        return 2.0 ** -(out / self.scale)
+        return 2.0 ** -(out / self.scale), by.argmax(axis=1) if x.shape[1] else np.zeros(len(x), dtype=np.int64)
 
 
 def _expected(n: float) -> float:
@@ -98,15 +104,15 @@ def _expected(n: float) -> float:
 
 
 def grow(x: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: int = 7) -> Forest:
-    """Random splits of random subsamples; without rows, a forest in which every path is as long as expected."""
+    """Random splits of the subsamples that follow each other in ``x``, from its start again at its end; without rows every path is as long as expected."""
     rng = np.random.default_rng(seed)
     per_tree = min(per_tree, max(len(x), 1))
     limit = max(1, int(np.ceil(np.log2(max(per_tree, 2)))))
     size = 2 ** (limit + 1)
     feature = np.full((trees, size), -1, dtype=np.int64)
-    cut, left, path = np.zeros((trees, size)), np.zeros((trees, size), dtype=np.int64), np.zeros((trees, size))
+    cut, left, path, gain = np.zeros((trees, size)), np.zeros((trees, size), dtype=np.int64), np.zeros((trees, size)), np.zeros((trees, size))
     for t in range(trees):
-        sample = x[rng.choice(len(x), per_tree, replace=False)] if len(x) else x
+        sample = x[np.arange(t * per_tree, (t + 1) * per_tree) % len(x)] if len(x) else x
         used = 1
         todo = [(0, sample, 0)]
         while todo:
@@ -119,25 +125,30 @@ def grow(x: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: int
             c = rng.uniform(rows[:, f].min(), rows[:, f].max())
             right = rows[:, f] >= c
             feature[t, node], cut[t, node], left[t, node] = f, c, used
-            todo += [(used, rows[~right], depth + 1), (used + 1, rows[right], depth + 1)]
+            for child, some in ((used, ~right), (used + 1, right)):
+                gain[t, child] = np.log2(len(rows) / max(some.sum(), 1))
+                todo.append((child, rows[some], depth + 1))
             used += 2
-    return Forest(feature, cut, left, path, limit, max(_expected(per_tree), 1.0))
+    return Forest(feature, cut, left, path, gain, limit, max(_expected(per_tree), 1.0))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, weight: float = 20.0) -> float:
-    """The score from which documents are rejected: most bad rows caught, a lost share of good rows counting ``weight`` times.
+def calibrate(score: np.ndarray, good: np.ndarray, all_bad: int, all_good: int, weight: float = 20.0) -> float:
+    """The score from which documents are rejected: the largest share of ``all_bad`` caught, a lost share of ``all_good`` counting ``weight`` times.
 
-    Of equally good scores the middle of the widest gap. Without good or bad rows nothing is rejected (infinity).
+    Of equally good scores the middle of the widest gap; below the least
+    labelled score nothing is known, so that score itself is the least. Without
+    bad rows, or where no score catches more than it costs, nothing is rejected
+    (infinity), and so it is if all labelled rows are of one kind.
     """
-    if not good.any() or good.all():
+    if good.all() or not all_good:
         return float("inf")
     at = np.unique(score)
-    caught = 1 - np.searchsorted(np.sort(score[~good]), at) / (~good).sum()
-    lost = 1 - np.searchsorted(np.sort(score[good]), at) / good.sum()
+    caught = ((~good).sum() - np.searchsorted(np.sort(score[~good]), at)) / all_bad
+    lost = (good.sum() - np.searchsorted(np.sort(score[good]), at)) / all_good
     value = caught - weight * lost
     if value.max() <= 0:
         return float("inf")
-    gap = at - np.concatenate([[at[0] - 1e-9], at[:-1]])
+    gap = at - np.concatenate([[at[0]], at[:-1]])
     best = np.flatnonzero(value >= value.max() - 1e-12)
     k = best[int(np.argmax(gap[best]))]
     return float(at[k] - gap[k] / 2)
@@ -146,7 +157,7 @@ def calibrate(score: np.ndarray, good: np.ndarray, weight: float = 20.0) -> floa
 @dataclass
 class Model:
     forest: Forest
-    threshold: float
+    threshold: np.ndarray  # for each feature that isolates
     min_words: int
     max_repeat: int
 
@@ -161,36 +172,42 @@ def _stats_rows(batches):
 _STAT_COLS = ", ".join(f"{c} long" for c in STATS)
 
 
-def fit(docs: DataFrame, labels: DataFrame, forest_rows: int = FOREST_ROWS, labelled_rows: int = LABELLED_ROWS, min_words: int = 50, max_repeat: int = 50, seed: int = 7) -> Model:
-    """Grow trees on at most ``forest_rows`` documents and set the threshold on at most ``labelled_rows`` labelled ones.
+def fit(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS, min_words: int = 50, max_repeat: int = 50, seed: int = 7) -> Model:
+    """Grow TREES trees from PER_TREE documents each, and set thresholds on at most ``labelled_rows`` labelled ones.
 
-    Both samples are those of least hashed id. Documents that the base rules
-    fail are left out of both: the forest judges the others only. Rows of labels
-    with null doc_id or quality are ignored; of repeated ids the least quality counts.
+    Trees take documents in the order of their hashed ids, from all of the
+    table; both samples are those of least hash. Documents that the base rules
+    fail are left out: the forest judges the others only. Rows of labels with
+    null doc_id or quality are ignored; of repeated ids the least quality counts.
     """
     common.text_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = common.bounded_sample(known, "doc_id", labelled_rows, seed).select(F.col("doc_id").alias("id"), "quality")
-    ids = common.bounded_sample(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", forest_rows, seed + 1).select(F.col("doc_id").alias("id"), F.lit(-1).alias("quality"))
+    ids = common.bounded_sample(docs.where("doc_id is not null").select("doc_id").distinct(), "doc_id", TREES * PER_TREE, seed + 1).select(F.col("doc_id").alias("id"), F.lit(-1).alias("quality"))
     wanted = known.union(ids).groupBy("id").agg(F.max("quality").alias("quality"), F.max(F.col("quality") == -1).alias("sampled"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("quality", "sampled", "text")
-    got = rows.mapInArrow(_stats_rows, "quality int, sampled boolean, " + _STAT_COLS).toPandas()
+    wanted = wanted.withColumn("place", F.xxhash64(F.lit(seed + 1), "id"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).select("quality", "sampled", "place", "text")
+    got = rows.mapInArrow(_stats_rows, "quality int, sampled boolean, place long, " + _STAT_COLS).toPandas()
     s = got[list(STATS)].to_numpy(dtype=np.int64)
     passed = ~base_failed(s[:, 0], s[:, 4], min_words, max_repeat)
     x = features(s)
     sampled = got["sampled"].to_numpy(dtype=bool) & passed
-    order = np.lexsort(x[sampled].T)  # rows arrive in any order; trees must not depend on it
+    # rows arrive in any order, and trees must not depend on it; rows of one id stand by their statistics
+    order = np.lexsort([*x[sampled].T, got["place"].to_numpy()[sampled]])
     forest = grow(x[sampled][order], seed=seed)
     q = got["quality"].to_numpy()
     lab = (q >= 0) & passed
-    return Model(forest, calibrate(forest.score(x[lab]), q[lab] > 0), min_words, max_repeat)
+    score, by = forest.explain(x[lab])
+    good = q[lab] > 0
+    thresholds = [calibrate(score[by == j], good[by == j], int((~good).sum()), int(good.sum())) for j in range(len(FEATURES))]
+    return Model(forest, np.array(thresholds), min_words, max_repeat)
 
 
-def judge(text_stats: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """base_failed, anomaly score, kept."""
+def judge(text_stats: np.ndarray, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, anomaly score, the feature that isolates, kept."""
     failed = base_failed(text_stats[:, 0], text_stats[:, 4], m.min_words, m.max_repeat)
-    score = m.forest.score(features(text_stats))
-    return failed, score, ~failed & (score < m.threshold)
+    score, by = m.forest.explain(features(text_stats))
+    return failed, score, by, ~failed & (score < m.threshold[by])
 
 
 def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
@@ -207,8 +224,8 @@ def apply_rules(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         for b in common.slices(batches):
             s = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
-            failed, score, kept = judge(s, m)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, k]) for k in range(5)), pa.array(failed), pa.array(score), pa.array(kept)], ["doc_id", *STATS[:5], "base_failed", "anomaly", "kept"])
+            failed, score, by, kept = judge(s, m)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(s[:, k]) for k in range(5)), pa.array(failed), pa.array(score), pa.array(np.array(FEATURES)[by], pa.string()), pa.array(kept)], ["doc_id", *STATS[:5], "base_failed", "anomaly", "isolated_by", "kept"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -221,7 +238,7 @@ def filter_documents(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         for b in common.slices(batches):
             s = np.array([statistics(t) for t in b.column("text").to_pylist()], dtype=np.int64).reshape(-1, len(STATS))
-            yield b.filter(pa.array(judge(s, sent.value)[2]))
+            yield b.filter(pa.array(judge(s, sent.value)[3]))
 
     return docs.mapInArrow(run, docs.schema)
 
