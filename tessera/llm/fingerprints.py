@@ -154,6 +154,10 @@ def _run(batches):
         yield _finish(ready)
 
 
+#: Ranges of ids, at most.
+RANGES = 4096
+
+
 def fingerprint(docs: DataFrame, rows_per_part: int = 2_000) -> DataFrame:
     """``docs(doc_id, text)`` to fingerprints of each text and of its edited text.
 
@@ -165,17 +169,20 @@ def fingerprint(docs: DataFrame, rows_per_part: int = 2_000) -> DataFrame:
     likeness 0. Repeated rows keep their rows. Other columns are ignored. An
     empty table gives an empty result.
 
-    Ids are cut into ranges, texts are dealt once by range, and the first
-    document of a range is also sent to the range before it; the driver gets
-    one id for each range.
+    Ids are cut into ranges, at most RANGES of them, by approximate quantiles;
+    texts are dealt once by range, and the first document of a range is also
+    sent to the range before it. The driver gets one id for each range. A range
+    is sorted on disk and passes through its task in slices.
     """
     common.text_batches(docs.sparkSession)
     least = -(2**63)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(least)).alias("at"))
     n = rows.count()
-    ranges = max(1, -(-n // rows_per_part))
-    tops = rows.select("at").repartitionByRange(ranges, F.col("at").desc()).groupBy(F.spark_partition_id().alias("p")).agg(F.max("at").alias("top")).collect()
-    rising = np.array(sorted(r["top"] for r in tops), dtype=np.int64)
+    ranges = min(RANGES, max(1, -(-n // rows_per_part)))
+    shares = [k / ranges for k in range(1, ranges)]
+    found = rows.agg(F.max("at").alias("top"), *([F.percentile_approx("at", shares, 10 * ranges).alias("inner")] if shares else [])).first()
+    # any ids of the table may part ranges; the greatest must be one of them
+    rising = np.array(sorted({found["top"], *(found["inner"] or [] if shares else [])} - {None}), dtype=np.int64)
     m = len(rising)
 
     @F.pandas_udf("array<struct<part:int,tail:boolean>>")
