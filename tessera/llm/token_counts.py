@@ -53,12 +53,15 @@ def _encode(path: str, version: str):
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_path: str | None = None, normalise=None, limit: int = 1024) -> DataFrame:
     """``docs(doc_id, text)`` to ``doc_id, n_bytes, n_tokens, over_limit``, one row for each input row.
 
+    cache_path: a folder that later runs find again, in which only what it lacks
+    is encoded; without it, a scratch folder that ends with the driver.
     normalise: a function from Column to Column that must not change counts;
     none by default, as byte-level BPE sees every byte. Null texts count as
     empty (0 bytes, 0 tokens); null and repeated ids keep their own rows; other
     columns are ignored, so their names can't clash. Texts are digested in the
     JVM; equal texts meet after a map-side combine, so a group of copies of any
-    size moves once a task. An empty table gives an empty result.
+    size moves once a task, and counts go back to it by a join that splits large
+    groups. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     common.text_batches(spark)
@@ -69,16 +72,19 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, cache_path: str
     body = normalise(body) if normalise else body
     rows = docs.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), body.alias("body"))
     rows = rows.withColumn("content_digest", F.unhex(F.sha2("body", 256)))
+    small = common.materialise(rows.select("doc_id", "n_bytes", "content_digest"), "digests")
     distinct = rows.groupBy("content_digest").agg(F.first("body").alias("body"))
     known = cache.entries(version)
     misses = distinct if known is None else distinct.join(known, "content_digest", "left_anti")
     cache.append(misses.mapInArrow(_encode(path, version), CACHE))
-    counted = rows.select("doc_id", "n_bytes", "content_digest").join(cache.entries(version), "content_digest")
+    # a group of copies with more rows than half a task's share is split
+    spread = max(1000, small.count() // (2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counted = common.salted_join(small, cache.entries(version), ["content_digest"], spread=spread)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(common.table(spark, sf_dir, "documents"))
+    return count_tokens(common.table(spark, sf_dir, "documents"), cache_path=f"{common.scratch_root(spark)}/tessera-token-counts")
 
 
 QUERIES = {"op10_token_counts": op10_token_counts}
