@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found through a block-max inverted index.
 
-Terms are all words of the examples and their beginnings; words that no example
+Terms are all words of the examples; words that no example
 has count in the length of a document's vector. A term's weight is its TF-IDF
 times how much more common it is in toxic examples, and never zero. The index
 holds a bounded sample of labelled documents and is sent to every task. Each
@@ -27,20 +27,20 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents in the index, neighbours, examples in a block, queries at a time.
-EXAMPLES, NEIGHBOURS, BLOCK, QUERIES_AT_ONCE = 8_192, 15, 256, 64
+EXAMPLES, NEIGHBOURS, BLOCK, QUERIES_AT_ONCE = 8_192, 15, 1024, 256
 #: A term is frequent if at least so many examples have it, and one in so many.
-FREQUENT, ONE_IN = 64, 32
-#: More than the rounding of sums in single precision.
-MARGIN = 1e-4
+FREQUENT, ONE_IN = 64, 16
+#: Share of a sum that single precision may lose for each of its terms, none of which is negative, and once for the rest.
+ROUNDING, MARGIN = 1.2e-7, 1e-5
 #: Factor of terms that are no more common in toxic examples; examples' worth of the prior in that comparison.
 FLOOR, SHRINK = 0.1, 16.0
-PREFIXES = (5,)
+PREFIXES: tuple[int, ...] = ()
 MARKS = b".,!?;:*%&$#|()[]\"'<>-_"
 OUT = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<example:long,cosine:double,toxic:int>>"
 
 
 def term_keys(word: bytes) -> list[str]:
-    """A word without outer marks, A-Z lower-cased, and its beginnings (marked ^) of PREFIXES characters where it is longer."""
+    """A word without outer marks, A-Z lower-cased, and, if PREFIXES asks for them, its beginnings (marked ^) of so many characters."""
     w = word.strip(MARKS).lower().decode("utf-8", "surrogatepass")
     return [w, *("^" + w[:n] for n in PREFIXES if len(w) > n)] if w else []
 
@@ -198,7 +198,8 @@ class Index:
                 sums[q, slot[without[q]]] = -8.0
         # block by block, those with the greatest bounds first; a query skips blocks that hold nothing nearer than its k-th
         parts = sums.reshape(m, len(by_block), BLOCK)
-        bound = parts.max(axis=2) + often @ most.T + MARGIN
+        lost = np.array([MARGIN + ROUNDING * len(t) for t, _ in queries])
+        bound = (parts.max(axis=2) + often @ most.T) * (1 + 2 * lost)[:, None]
         best = np.zeros((m, k), dtype=np.float32)
         passed = np.zeros((m, len(by_block)), dtype=bool)
         for block in np.argsort(-bound.max(axis=0), kind="stable"):
@@ -209,7 +210,7 @@ class Index:
             parts[some, block] += often[some] @ by_block[block]
             both = np.concatenate([best[some], parts[some, block]], axis=1)
             best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        edge = best.min(axis=1) - MARGIN
+        edge = best.min(axis=1) * (1 - 2 * lost)
         out = []
         for q, (t, w) in enumerate(queries):
             near = parts[q] > max(edge[q], 0.0)
