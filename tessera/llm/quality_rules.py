@@ -132,14 +132,16 @@ def grow(x: np.ndarray, trees: int = TREES, per_tree: int = PER_TREE, seed: int
     return Forest(feature, cut, left, path, gain, limit, max(_expected(per_tree), 1.0))
 
 
-def calibrate(score: np.ndarray, good: np.ndarray, all_bad: int, all_good: int, weight: float = 20.0) -> float:
+def calibrate(score: np.ndarray, good: np.ndarray, all_bad: int | None = None, all_good: int | None = None, weight: float = 20.0) -> float:
     """The score from which documents are rejected: the largest share of ``all_bad`` caught, a lost share of ``all_good`` counting ``weight`` times.
 
     Of equally good scores the middle of the widest gap; below the least
     labelled score nothing is known, so that score itself is the least. Without
     bad rows, or where no score catches more than it costs, nothing is rejected
-    (infinity), and so it is if all labelled rows are of one kind.
+    (infinity), and so it is if all labelled rows are good, or there is no good
+    one at all. Without totals the given rows are all there are.
     """
+    all_bad, all_good = int((~good).sum()) if all_bad is None else all_bad, int(good.sum()) if all_good is None else all_good
     if good.all() or not all_good:
         return float("inf")
     at = np.unique(score)
