@@ -257,6 +257,27 @@ def test_language_model_base_and_gain(spark, tables):
     assert all(r.score < 0 for r in got.values())
 
 
+def test_language_model_is_the_same_for_any_split(spark, tables, monkeypatch):
+    """The number of partitions and Arrow's batches leave no trace; several shards in a task, ties of ids with other texts."""
+    monkeypatch.setattr(language_model, "SHARD", 1_000)
+    monkeypatch.setattr(language_model, "TASKS", 3)
+    docs = tables[0].select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 5").selectExpr("doc_id", "concat(text, ' and more')"))
+    train = docs.where(common.doc_ids_mod("doc_id", 10) != 0)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    models = []
+    for parts, rows in ((1, 1000), (7, 13), (40, 200)):
+        spark.conf.set(name, str(rows))
+        models.append(language_model.fit(train.repartition(parts)))
+    spark.conf.set(name, was)
+    one = models[0]
+    assert one.vocab.total > 3 * language_model.ROUNDS * language_model.SHARD
+    for m in models[1:]:
+        assert np.array_equal(m.weights, one.weights) and np.array_equal(m.bias, one.bias)
+        assert m.vocab.number == one.vocab.number and m.vocab.total == one.vocab.total
+
+
 def test_language_model_is_a_distribution(spark, make):
     """After any history, the probabilities of all counted words, the end and the classes of new words add up to 1."""
     rng = random.Random(5)
