@@ -166,6 +166,44 @@ def test_co_training_uses_both_views():
     assert right[2] >= max(right[:2]) - 0.01 and right[2] > 0.95
 
 
+def test_confident_documents_come_from_all_rows(spark, tables):
+    """Spark's choice from the written views equals that of arrays in memory; marks given before and labelled ids are left out."""
+    docs, labels = tables
+    docs = docs.union(docs.limit(40)).repartition(7)
+    seen = quality_classifier.written_views(docs)
+    rows = sorted(seen.collect(), key=lambda r: (r.mark, r.doc_id))
+    first = {r.mark: r for r in reversed(rows)}
+    content = quality_classifier.Sparse(np.frombuffer(b"".join(r.at for r in first.values()), np.uint16), np.frombuffer(b"".join(r.value for r in first.values()), np.float32), np.array([len(r.at) // 2 for r in first.values()])).dense()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r, c in zip(first.values(), content, strict=True):
+        np.testing.assert_array_equal(c, quality_classifier.content_view(texts[r.doc_id]))
+    meta = np.frombuffer(b"".join(r.meta for r in first.values()), np.float32).reshape(-1, quality_classifier.META)
+    rng = np.random.default_rng(1)
+    models = [rng.normal(size=x.shape[1] + 1) * 6 for x in (content, meta)]
+    pool = quality_classifier.Pool(content, meta)
+    pool.mark = np.array(list(first), dtype=np.int64)
+    given = [set(pool.mark[:30].tolist()), set(pool.mark[20:60].tolist())]
+    wanted = [25, 40]
+    want = pool.confident(models, wanted, given)
+    got = quality_classifier.WrittenPool(seen, np.empty(0, dtype=np.int64)).confident(models, wanted, given)
+    assert set(got[0][2].tolist()) == set(want[0][2].tolist())  # equal content views have one content score
+    assert all(len(g[1]) == len(g[2]) == len(g[0]) <= sum(wanted) for g in got)
+    by_mark = {m: c for m, c in zip(pool.mark.tolist(), content, strict=True)}
+    for c, m in zip(got[1][0], got[1][2].tolist(), strict=True):
+        np.testing.assert_array_equal(c, by_mark[m])
+        assert m not in given[0]
+    best = {}
+    for r in rows:
+        if r.mark not in given[0]:
+            z = float(quality_classifier._logit(np.frombuffer(r.meta, np.float32)[None], models[1])[0])
+            best[r.mark] = [min(best.get(r.mark, [9e9, 0])[0], z), min(best.get(r.mark, [0, 9e9])[1], -z)]
+    for label in (0, 1):
+        least = sorted((z[label], m) for m, z in best.items() if z[label] < -quality_classifier.SURE)[: wanted[label]]
+        assert {m for _, m in least} == set(got[1][2][got[1][1] == label].tolist())
+    everyone = quality_classifier.WrittenPool(seen, np.array(sorted({r.doc_id for r in rows})))
+    assert all(not len(g[2]) for g in everyone.confident(models, wanted, given))
+
+
 def test_nearest_examples_are_exact():
     rng = np.random.default_rng(3)
     counts = [dict(zip(rng.choice(30, k, replace=False).tolist(), rng.integers(1, 5, k).tolist(), strict=True)) for k in rng.integers(0, 6, 700)]
