@@ -80,10 +80,11 @@ def page_edges(pages: DataFrame) -> DataFrame:
     return common.materialise(pairs, "links")  # a filter pushed into these expressions would repeat them beyond what compiles
 
 
-def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, spread: int | None = None) -> DataFrame:
     """``pages(page_id, url, html)`` to ``page_id, url, host, path, rule, verdict, alias``.
 
-    redirects: more edges as (from_url, to_url). A url with a rule has the
+    redirects: more edges as (from_url, to_url). spread: rows of one component
+    or url that one task joins, about; larger ones are split. A url with a rule has the
     rule's verdict. Any other is blocked if its component of aliases holds a
     url that a rule blocks and none that a rule allows, and allowed otherwise;
     ``alias`` tells that its component decided. Targets need not be pages.
@@ -94,15 +95,16 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     edges = page_edges(pages.select("url", "html"))
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("from_url")).alias("a"), node_of(F.col("to_url")).alias("b")))
-    component = common.connected_components(edges)
+    component = common.connected_components(edges, spread)
     # a node is a host, a path and a query
     split = component.select("node", "component", F.substring_index("node", "/", 1).alias("host"), F.regexp_extract("node", "^[^/]*([^?]*)", 1).alias("path"))
     ruled = split.select("node", "component", best_rule(F.col("host"), F.col("path"), rules)["verdict"].alias("v"))
     decided = ruled.groupBy("component").agg((F.max(F.coalesce(F.col("v") == "block", F.lit(False))) & ~F.max(F.coalesce(F.col("v") == "allow", F.lit(False)))).alias("blocked"))
-    blocked = ruled.join(decided.where("blocked"), "component").select("node", F.lit(True).alias("alias_block"))
+    blocked = common.salted_join(ruled, decided.where("blocked").select("component"), ["component"], spread=spread, counted=component).select("node", F.lit(True).alias("alias_block"))
     rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), node_of(F.col("url")).alias("node"))
     rows = rows.withColumn("best", best_rule(F.col("host"), F.col("path"), rules))
-    out = rows.join(blocked, "node", "left")
+    nodes = pages.select("page_id", "url", node_of(F.col("url")).alias("node"))
+    out = common.salted_join(rows, blocked, ["node"], "left", spread, nodes)
     alias = F.col("best").isNull() & F.coalesce("alias_block", F.lit(False))
     return out.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(alias, "block").otherwise("allow")).alias("verdict"), alias.alias("alias"))
 

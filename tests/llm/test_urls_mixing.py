@@ -93,6 +93,17 @@ def water_fill(sizes, weights):
         capped |= over
 
 
+def test_one_component_and_one_url_with_most_rows(spark):
+    """Split joins give what whole ones give, for a page with 400 aliases and a url with 300 rows."""
+    rows = [(i, f"http://h{i}.com/", canonical("http://hub.com/")) for i in range(400)] + [(1000 + i, "http://h7.com/", None) for i in range(300)]
+    rows += [(2000, "http://hub.com/", canonical("http://bad.net/x")), (2001, "http://free.com/", None), (None, None, None), (2002, "none", None)]
+    df = spark.createDataFrame(rows, PAGES)
+    key = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    split = key(url_filters.judge(df, spread=16))
+    assert split == key(url_filters.judge(df)) and len(split) == len(rows)
+    assert sum(r[5] == "block" for r in split) == 701
+
+
 def test_mixing(spark):
     df = documents(spark)
     got = mixing.mix(df.selectExpr("*", "1 as h", "2 as size", "3 as s", "4 as threshold", "5 as target")).collect()
