@@ -127,7 +127,10 @@ def places(bins: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarra
     return {s: tuple(np.array(x, dtype=np.int64) for x in zip(*r, strict=True)) for s, r in runs.items()}
 
 
-def _cut(path: str, capacity: int, eos: int):
+def _cut(path: str, capacity: int, eos: int, with_ids: bool = False):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * with_ids)
+
     def run(batches):
         enc = tokens.encoder(path)
         end = eos.to_bytes(4, "little")
@@ -142,9 +145,10 @@ def _cut(path: str, capacity: int, eos: int):
                     size = n % capacity or capacity
                     k = 0
                     while at < n:
-                        out.append((doc, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                        part = ids[4 * at : 4 * (at + size)]
+                        out.append((doc, k, at, size, zlib.crc32(part), *[part] * with_ids))
                         at, size, k = at + size, capacity, k + 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
@@ -170,7 +174,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eo
 
     Null and empty texts are the end id alone, one piece of length 1. Longer
     documents are cut so that only the first piece may be short. Repeated rows
-    are packed each; null ids keep their rows; other columns are ignored. An
+    are packed each, as are rows without an id; other columns are ignored. An
     empty table gives an empty result. Ranks within a length are counted by hash
     groups of about ``rows_per_group`` pieces, so that one very common length
     doesn't meet in one task.
@@ -181,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eo
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = places(solve(counts, capacity))
     groups = max(64, -(-max(counts.values(), default=0) // rows_per_group))
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
     sums = dealt.groupBy("length", "g").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("length", "g", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -191,20 +195,22 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eo
     return ranked.mapInArrow(_place(runs), PIECE + ", sequence_id long, offset long")
 
 
-def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, eos: int = 2) -> DataFrame:
-    """The ids of each packed sequence, little-endian unsigned 32 bits, in order: ``sequence_id, length, ids``."""
-    path = tokenizer or tokens.default_path()
-
-    def cut(batches):
-        enc = tokens.encoder(path)
-        for b in common.slices(batches):
-            rows = b.to_pylist()
-            for r, ids in zip(rows, enc.ids([r["text"] or "" for r in rows]), strict=True):
-                ids += eos.to_bytes(4, "little")
-                r["part"] = ids[4 * r["start"] : 4 * (r["start"] + r["length"])]
-            yield pa.RecordBatch.from_pylist([{k: r[k] for k in ("sequence_id", "offset", "length", "part")} for r in rows], schema=pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("part", pa.binary())]))
+def sequences(docs: DataFrame, packed: DataFrame, tokenizer: str | None = None, capacity: int = 1024, eos: int = 2) -> DataFrame:
+    """The ids of each packed sequence, little-endian unsigned 32 bits, in order: ``sequence_id, length, ids``.
 
-    parts = packed.join(docs.select("doc_id", "text"), "doc_id").mapInArrow(cut, "sequence_id long, offset long, length long, part binary")
+    ``docs`` are cut as ``pack`` cut them, and every place of ``packed`` finds
+    its piece by id, number, start, length and checksum: repeated rows, null ids
+    and several texts under one id give each place once.
+    """
+    common.text_batches(docs.sparkSession)
+    path = tokenizer or tokens.default_path()
+    cut = docs.select("doc_id", "text").mapInArrow(_cut(path, capacity, eos, with_ids=True), PIECE + ", ids binary")
+    key = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    cut = cut.dropDuplicates(key).select(*[F.col(k).alias(f"of_{k}") for k in key], F.col("ids").alias("part"))
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    parts = packed.select("sequence_id", "offset", *key).join(cut, same).select("sequence_id", "offset", "length", "part")
     made = parts.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "part"))).alias("parts"))
     return made.select("sequence_id", "length", F.expr("aggregate(parts, X'', (a, x) -> concat(a, x.part))").alias("ids"))
 

@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tessera.llm import packing, token_counts, tokens
+from tessera.llm import common, packing, token_counts, tokens
 
 
 def brute(texts):
@@ -118,6 +118,22 @@ def test_pack(spark, make, odd_texts):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_sequences_of_repeated_and_null_ids(spark, make):
+    """As after mixing: a document twice, several texts under one id and under none. Every place is filled once, by its own ids."""
+    long = " ".join(f"w{i}" for i in range(900))
+    rows = [(1, "one text"), (1, "one text"), (2, long), (2, long), (3, "a b"), (3, "another one"), (None, "x"), (None, "x"), (None, "y z"), (None, None), (4, None)]
+    docs = make(rows)
+    packed = common.materialise(packing.pack(docs, rows_per_group=2), "packed")
+    cut = []
+    for ids in brute([t for _, t in rows]):
+        ids = [*ids, 2]
+        at = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
+        cut += [tuple(ids[a:b]) for a, b in zip(at, at[1:], strict=False)]
+    made = {r.sequence_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.sequences(docs, packed).collect()}
+    got = [tuple(made[r.sequence_id][r.offset : r.offset + r.length]) for r in packed.collect()]
+    assert sorted(got) == sorted(cut) and sum(map(len, made.values())) == sum(map(len, cut))
+
+
 def test_every_latin_word_and_mark():
     letters = [chr(c) for c in [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)] if c not in (0xD7, 0xF7)]
     texts = [" ".join(a + b + m for a, b in zip(letters, letters[k:], strict=False)) for k in (1, 7) for m in ("", ".", "!!", "***,", "$$$\n", "'s")]
