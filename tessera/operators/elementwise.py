@@ -39,8 +39,32 @@ def apply(name: str, a: BandMatrix, b: BandMatrix | float | None = None, reverse
     v = f(F.coalesce("va", "fa"), F.coalesce("vb", "fb")).cast("double")
     cells = both.select(*KEY, v.alias("v"), (F.coalesce("ma", F.lit(False)) | F.coalesce("mb", F.lit(False))).alias("masked"))
     meta = m.select("chrom", "n", "d", f(F.col("fa"), F.col("fb")).cast("double").alias("band_fill"), f(F.col("da"), F.col("db")).cast("double").alias("default_value"))
-    bins = a.bins if b.bins is None else b.bins if a.bins is None else a.bins.union(b.bins).distinct()
-    return BandMatrix(cells, meta, bins)
+    return BandMatrix(cells, meta, _either_bins(a, b))
+
+
+def _either_bins(a: BandMatrix, b: BandMatrix):
+    return a.bins if b.bins is None else b.bins if a.bins is None else a.bins.union(b.bins).distinct()
+
+
+def keep_where(result: BandMatrix, first: BandMatrix, where: BandMatrix) -> BandMatrix:
+    """``result`` in the band's cells where ``where`` is not 0, the values of ``first`` in the others.
+
+    NumPy leaves the others undefined; here they keep the first matrix's value.
+    Masked cells of ``where`` are masked; the default out of the band is the result's.
+    """
+    r = result.cells.select(*KEY, F.col("v").alias("vr"), F.col("masked").alias("mr"))
+    w = where.cells.select(*KEY, F.col("v").alias("w"), F.col("masked").alias("mw"))
+    cells = r.join(first.cells.select(*KEY, F.col("v").alias("vf")), KEY, "full").join(w, KEY, "full")
+    fills = result.meta.select("chrom", "n", "d", F.col("band_fill").alias("fr"), "default_value")
+    for m, name in ((first, "ff"), (where, "fw")):
+        fills = fills.join(m.meta.select("chrom", F.col("n").alias("n2"), F.col("d").alias("d2"), F.col("band_fill").alias(name)), "chrom")
+        fills = fills.withColumn("n", F.when((F.col("n") == F.col("n2")) & (F.col("d") == F.col("d2")), F.col("n")).otherwise(F.raise_error(F.lit("matrices of different size or band")))).drop("n2", "d2")
+    choose = lambda w, x, y: F.when(w != 0, x).otherwise(y)
+    v = choose(F.coalesce("w", "fw"), F.coalesce("vr", "fr"), F.coalesce("vf", "ff"))
+    cells = cells.join(fills.select("chrom", "fr", "ff", "fw"), "chrom")
+    cells = cells.select(*KEY, v.alias("v"), (F.coalesce("mr", F.lit(False)) | F.coalesce("mw", F.lit(False))).alias("masked"))
+    meta = fills.select("chrom", "n", "d", choose(F.col("fw"), F.col("fr"), F.col("ff")).alias("band_fill"), "default_value")
+    return BandMatrix(cells, meta, _either_bins(result, where))
 
 
 def divmod_(a: BandMatrix, b: BandMatrix | float) -> tuple[BandMatrix, BandMatrix]:

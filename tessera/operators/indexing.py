@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .elementwise import apply, divmod_
+from .elementwise import apply, divmod_, keep_where
 from .matrix import KEY, BandMatrix
 
 
@@ -69,8 +69,13 @@ def iterate(df: DataFrame, by: str) -> Iterator[tuple[str, int, list]]:
 def array_ufunc(self, ufunc, method, *inputs, **kwargs):
     if method != "__call__":
         return NotImplemented
-    if kwargs:
-        raise ValueError(f"{', '.join(kwargs)} not supported")
+    where = kwargs.pop("where", None)
+    if kwargs or not (where is None or isinstance(where, BandMatrix)):
+        raise ValueError(f"{', '.join(kwargs) or 'where= of this type'} not supported")
+    if where is not None:
+        done = array_ufunc(self, ufunc, method, *inputs)
+        first = next(x for x in inputs if isinstance(x, BandMatrix))
+        return done if done is NotImplemented else tuple(keep_where(r, first, where) for r in done) if isinstance(done, tuple) else keep_where(done, first, where)
     if not all(isinstance(x, (BandMatrix, int, float, np.number)) for x in inputs):
         return NotImplemented
     x = [float(v) if isinstance(v, np.number) else v for v in inputs]

@@ -63,6 +63,29 @@ def test_numpy_protocols(spark):
             bad()
 
 
+def test_where(spark):
+    """Stored and unstored cells, fills other than 0, masks of cells and bins on all sides."""
+    i, j = np.indices((5, 5))
+    band = abs(i - j) < 3
+    for fill in (0.0, 2.0):
+        m, a = make(spark, 5, 3, CELLS, MASK, (3,)) + fill, build(5, 3, CELLS, MASK, (3,)) + fill
+        w, b = make(spark, 5, 3, {(0, 0): 1, (1, 2): 1, (2, 4): 5, (3, 4): -1, (0, 2): 0}, (), (0,)), build(5, 3, {(0, 0): 1, (1, 2): 1, (2, 4): 5, (3, 4): -1, (0, 2): 0}, (), (0,))
+        cases = (
+            (np.multiply(m, 10, where=w), a * 10, b),
+            (np.add(m, m, where=w), a + a, b),
+            (np.sqrt(m, where=w), np.sqrt(a), b),
+            (np.subtract(1.0, m, where=w), 1.0 - a, b),
+            (np.negative(m, where=w + 1.0), -a, b + 1.0),
+        )
+        for got, full, chosen in cases:
+            want = np.where(band & (chosen.data == 0), a.data, full.data)
+            same(dense(got), np.ma.array(want, mask=np.ma.getmaskarray(a) | np.ma.getmaskarray(b)))
+    q, r = np.divmod(m, 2, where=w)
+    assert dense(q).shape == dense(r).shape == (5, 5)
+    with pytest.raises(ValueError):
+        np.add(m, 1, where=np.ones((5, 5), dtype=bool))
+
+
 def test_iteration_counts_and_masks(spark):
     m, a = make(spark, 5, 3, CELLS, MASK, (3,)), build(5, 3, CELLS, MASK, (3,))
     assert [(k, len(v)) for _, k, v in m] == [(0, 5), (1, 4), (2, 3)]
