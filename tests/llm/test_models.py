@@ -7,6 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tessera.llm import common, language_model, quality_classifier, quality_rules, toxicity
 
 D = "/root/testdata/sf0.01"
@@ -374,3 +376,13 @@ def test_rows_sum():
         np.testing.assert_allclose(s[k], g[rows == r].sum(axis=0))
         assert n[k] == (rows == r).sum()
     assert set(u) == set(rows)
+
+
+def test_bounded_sample_of_more_rows_than_its_bound(spark):
+    """The rows of least hash, the same however the table is partitioned; all rows where there are no more than the bound."""
+    df = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in df.orderBy(F.xxhash64(F.lit(7), "doc_id")).limit(600).collect()]
+    for parts in (1, 9):
+        got = common.bounded_sample(df.repartition(parts), "doc_id", 600, 7)
+        assert [r.doc_id for r in got.collect()] == want
+    assert common.bounded_sample(df, "doc_id", 5000, 7).count() == 5000 and common.bounded_sample(df.limit(0), "doc_id", 5, 7).count() == 0
