@@ -134,6 +134,37 @@ def test_forest_against_plain_recursion():
     assert forest.score(outlier)[0] > np.quantile(forest.score(x), 0.99)
 
 
+def test_forest_grows_from_every_row(spark):
+    """Each passing row is in one tree at least, more than TREES * per_tree of them too; the extremes of all are seen."""
+    rows = [(k * 7919, 100 + k % 50, 500 + k, k % 3, 0, 0, k % 5, 0, 9) for k in range(3000)] + [(k, 10, 40, 99, 0, 0, 0, 0, 1) for k in range(50)]
+    stats = spark.createDataFrame(rows, "mark long, " + quality_rules._STAT_COLS)
+    forest, again = (quality_rules.grow_all(s, trees=10, per_tree=16) for s in (stats, stats.repartition(5)))
+    s = np.array(rows)[:3000]
+    x, tree = quality_rules.features(s[:, 1:]), s[:, 0] % 10
+    for a, b in ((forest.cut, again.cut), (forest.path, again.path), (forest.gain, again.gain)):
+        assert np.array_equal(a, b)
+    assert forest.scale == pytest.approx(quality_rules._expected(300))
+    for t in range(10):  # shares of rows on each side of the first cut, among all rows of the tree
+        side = x[tree == t][:, forest.feature[t, 0]] >= forest.cut[t, 0]
+        np.testing.assert_allclose(forest.gain[t, 1:3], [np.log2(300 / (~side).sum()), np.log2(300 / side.sum())])
+    few = quality_rules.grow_all(stats.limit(40), trees=10, per_tree=64)
+    assert few.scale == pytest.approx(quality_rules._expected(40))  # each of few rows is in all trees
+
+
+def test_thresholds_from_every_labelled_row(spark):
+    """The same as ``calibrate`` on all rows at once, with ties, gaps between parts, and kinds without bad or without any rows."""
+    rng = np.random.default_rng(4)
+    by = rng.choice([0, 1, 3, 4], size=4000)
+    good = (rng.random(4000) < 0.8) | (by == 3)
+    score = np.round(np.where(good, rng.normal(0.45, 0.05, 4000), rng.normal(0.6, 0.1, 4000)).clip(0.01, 0.99), 3)
+    rows = spark.createDataFrame([(int(b), float(s), bool(g)) for b, s, g in zip(by, score, good, strict=True)], "by int, score double, good boolean")
+    got = quality_rules.calibrate_all(rows, 5)
+    want = [quality_rules.calibrate(score[by == j], good[by == j], int((~good).sum()), int(good.sum())) if (by == j).any() else np.inf for j in range(5)]
+    assert np.isfinite(want).sum() == 3
+    np.testing.assert_allclose(got, want)
+    assert np.isinf(quality_rules.calibrate_all(rows.where("good"), 5)).all() and np.isinf(quality_rules.calibrate_all(rows.limit(0), 5)).all()
+
+
 def test_classifier(spark, tables, make, odd_texts):
     docs, labels = tables
     model = quality_classifier.fit(docs, labels)
