@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds: words sent to every task; documents and words from which topics are found.
-HEAD, TOPIC_ROWS, ANCHORS = 131_072, 3_000, 256
+#: Words sent to every task, at most; numbers of a document's profile; steps of k-means, at most; profiles in a row of their table.
+HEAD, PROFILE, STEPS, BLOCK = 131_072, 256, 20, 64
 TOPICS, BANDS = 6, 4
 CLASSES = 32
 END_CLASS = TOPICS * BANDS + TOPICS
@@ -41,70 +41,119 @@ def _lower(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _profile(raw: bytes) -> np.ndarray:
+    """Square roots of the shares of hashed pairs of bytes in a lower-cased text, as 0 to 255; nothing but zeros without a pair."""
+    x = np.frombuffer(raw, dtype=np.uint8).astype(np.uint16)
+    if len(x) < 2:
+        return np.zeros(PROFILE, dtype=np.uint8)
+    n = np.bincount((x[:-1] * np.uint16(0x9E37) + x[1:] * np.uint16(0xC2B5)) >> np.uint16(8), minlength=PROFILE)
+    return np.rint(255 * np.sqrt(n / (len(x) - 1))).astype(np.uint8)
+
+
 @dataclass
 class Topics:
-    """Centroids of documents over the commonest words."""
+    """Centroids of documents' profiles, as whole numbers of sixteenths, so that sums and distances are exact."""
 
-    anchors: dict[bytes, int]
     centroids: np.ndarray
 
-    def of(self, histograms: np.ndarray) -> np.ndarray:
-        if not len(histograms):
-            return np.empty(0, dtype=np.int64)
-        x = np.sqrt(histograms / np.maximum(histograms.sum(axis=1, keepdims=True), 1))
-        return ((x[:, None, :] - self.centroids[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-
-    def histograms(self, docs: list[list[bytes]]) -> np.ndarray:
-        out = np.zeros((len(docs), ANCHORS), dtype=np.float32)
-        for i, d in enumerate(docs):
-            found = [a for a in map(self.anchors.get, d) if a is not None]
-            if found:
-                out[i] = np.bincount(found, minlength=ANCHORS)
-        return out
-
-
-def _k_means(x: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
-    rng = np.random.default_rng(seed)
-    c = np.zeros((k, x.shape[1]), dtype=np.float32)
-    if not len(x):
-        return c
-    c[0] = x[0]
-    for j in range(1, k):  # each start far from the others
-        d = ((x[:, None, :] - c[None, :j, :]) ** 2).sum(axis=2).min(axis=1)
-        c[j] = x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else c[0]
-    for _ in range(20):
-        near = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).argmin(axis=1)
-        for j in range(k):
-            if (near == j).any():
-                c[j] = x[near == j].mean(axis=0)
-    return c
-
-
-def find_topics(train: DataFrame, rows: int = TOPIC_ROWS, seed: int = 3) -> Topics:
-    """Topics from at most ``rows`` training documents of least hashed id; the driver gets ANCHORS numbers for each."""
-    ids = common.bounded_sample(train.where("doc_id is not null").select("doc_id").distinct(), "doc_id", rows, seed).select(F.col("doc_id").alias("id"))
-    some = train.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("doc_id", "text")
-
-    def words(batches):
-        for b in batches:
-            n: Counter = Counter()
-            for t in b.column("text").to_pylist():
-                n.update(_lower(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+    def far(self, x: np.ndarray) -> np.ndarray:
+        """Squared distances of profiles from all centroids, in units of 1/256; every product is a whole number below 2**24."""
+        x, c = x.astype(np.float32), self.centroids.astype(np.float32)
+        return 256.0 * np.einsum("ij,ij->i", x, x).astype(float)[:, None] - 32.0 * (x @ c.T).astype(float) + (self.centroids**2).sum(axis=1)
 
-    top = some.select("text").mapInArrow(words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(ANCHORS).collect()
-    topics = Topics({bytes(r["word"]): i for i, r in enumerate(top)}, np.zeros((TOPICS, ANCHORS), dtype=np.float32))
+    def of(self, profiles: np.ndarray) -> np.ndarray:
+        return self.far(profiles).argmin(axis=1)
+
+
+def _profiles(batches):
+    """Rows of BLOCK documents: their marks and profiles."""
+    for b in common.slices(batches):
+        texts, mark = b.column("text").to_pylist(), b.column("mark").to_numpy()
+        x = [_profile((t or "").encode("utf-8", "surrogatepass").lower()).tobytes() for t in texts]
+        at = range(0, len(x), BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array([mark[k : k + BLOCK].tobytes() for k in at], pa.binary()), pa.array([b"".join(x[k : k + BLOCK]) for k in at], pa.binary())], ["mark", "x"])
+
+
+def _blocks(batches, most: int = 128):
+    """(marks, profiles) of some thousand documents at a time."""
+    for b in common.slices(batches, most):
+        yield tuple(np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=d) for c, d in (("mark", np.int64), ("x", np.uint8)))
+
+
+def find_topics(train: DataFrame, seed: int = 3) -> Topics:
+    """Topics by k-means over the profiles of all rows of ``train``, each start far from the others (k-means++).
+
+    A step is a pass over the written profiles. Its sums are of whole numbers
+    and draws follow from hashes of texts, so the result is the same however
+    rows are partitioned; the driver gets one row for each topic.
+    """
+    rows = common.materialise(train.select(F.xxhash64(F.lit(seed), "text").alias("mark"), "text").mapInArrow(_profiles, "mark binary, x binary"), "profiles")
+    centroids = np.zeros((0, PROFILE), dtype=np.int64)
+
+    def drawn(topics: Topics, step: int):
+        """Of each task the row whose draw is least; chances are in proportion to the distance from the nearest centroid."""
+
+        def run(batches):
+            best = None
+            for mark, x in _blocks(batches):
+                x = x.reshape(-1, PROFILE)
+                d = topics.far(x).min(axis=1) if len(topics.centroids) else np.ones(len(x))
+                h = _draw(mark, step)
+                with np.errstate(divide="ignore"):
+                    z = np.where(d > 0, -np.log(h) / d, np.inf)
+                k = np.lexsort((mark, z))[0]
+                if np.isfinite(z[k]) and (best is None or (z[k], mark[k]) < best[:2]):
+                    best = z[k], mark[k], x[k].tobytes()
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]]), pa.array([best[2]], pa.binary())], ["z", "mark", "x"])
+
+        return rows.mapInArrow(run, "z double, mark long, x binary").orderBy("z", "mark").limit(1).collect()
+
+    for step in range(TOPICS):
+        got = drawn(Topics(centroids), step)
+        # fewer profiles than topics: the others stay empty
+        new = 16 * np.frombuffer(bytes(got[0]["x"]), dtype=np.uint8).astype(np.int64) if got else centroids[0] if len(centroids) else np.zeros(PROFILE, dtype=np.int64)
+        centroids = np.concatenate([centroids, new[None, :]])
+
+    def summed(topics: Topics):
+        def run(batches):
+            n, sums = np.zeros(TOPICS, dtype=np.int64), np.zeros((TOPICS, PROFILE), dtype=np.int64)
+            for _, x in _blocks(batches):
+                x = x.reshape(-1, PROFILE)
+                near = topics.of(x)
+                n += np.bincount(near, minlength=TOPICS)
+                sums += ((near[None, :] == np.arange(TOPICS)[:, None]).astype(np.float32) @ x.astype(np.float32)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(TOPICS)), pa.array(n), pa.array([s.tobytes() for s in sums], pa.binary())], ["z", "n", "sums"])
+
+        def add(batches):
+            n, sums = np.zeros(TOPICS, dtype=np.int64), np.zeros((TOPICS, PROFILE), dtype=np.int64)
+            for b in batches:
+                for z, k, raw in zip(*(b.column(c).to_pylist() for c in ("z", "n", "sums")), strict=True):
+                    n[z] += k
+                    sums[z] += np.frombuffer(raw, dtype=np.int64)
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some]), pa.array([s.tobytes() for s in sums[some]], pa.binary())], ["z", "n", "sums"])
+
+        kind = "z long, n long, sums binary"
+        return rows.mapInArrow(run, kind).repartition(TOPICS, "z").mapInArrow(add, kind).collect()
+
+    for _ in range(STEPS):
+        was = centroids.copy()
+        for r in summed(Topics(was)):
+            centroids[r["z"]] = np.rint(16 * np.frombuffer(bytes(r["sums"]), dtype=np.int64) / r["n"]).astype(np.int64)
+        if np.array_equal(was, centroids):
+            break
+    common.release(rows)
+    return Topics(centroids)
 
-    def histograms(batches):
-        for b in batches:
-            h = topics.histograms([_lower(t) for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x.tobytes() for x in h], pa.binary())], ["doc_id", "h"])
 
-    got = sorted(some.mapInArrow(histograms, "doc_id long, h binary").collect(), key=lambda r: (r["doc_id"], bytes(r["h"])))
-    x = np.frombuffer(b"".join(bytes(r["h"]) for r in got), dtype=np.float32).reshape(-1, ANCHORS)
-    x = np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
-    topics.centroids = _k_means(x, TOPICS)
-    return topics
+def _draw(mark: np.ndarray, step: int) -> np.ndarray:
+    """Numbers above 0, below 1, that follow from marks."""
+    h = (mark.view(np.uint64) + np.uint64(step)) * _K[0]
+    h ^= h >> np.uint64(31)
+    h *= _K[1]
+    h ^= h >> np.uint64(29)
+    return ((h >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
 def count_words(train: DataFrame, topics: Topics) -> DataFrame:
@@ -123,9 +172,9 @@ def count_words(train: DataFrame, topics: Topics) -> DataFrame:
         for b in common.slices(batches):
             texts = b.column("text").to_pylist()
             for lo, hi in common.groups_by_size(texts):
-                docs = [_lower(t) for t in texts[lo:hi]]
-                for d, z in zip(docs, sent.value.of(sent.value.histograms(docs)), strict=True):
-                    held[z].update(d)
+                raw = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts[lo:hi]]
+                for d, z in zip(raw, sent.value.of(np.stack([_profile(d) for d in raw])), strict=True):
+                    held[z].update(d.split())
                     held[z][END] += 1
                 if sum(map(len, held)) > 400_000:
                     yield from flush()

@@ -328,6 +328,25 @@ def test_language_model_base_and_gain(spark, tables):
     assert all(r.score < 0 for r in got.values())
 
 
+def test_topics_come_from_every_document(spark, make):
+    """More documents than the 3,000 that topics were found from; the centroids are means of all profiles next to them."""
+    rng = random.Random(6)
+    kinds = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+    texts = [" ".join("".join(rng.choice(kinds[k % 6]) for _ in range(4)) for _ in range(30)) for k in range(4800)]
+    docs = make([*texts, "", None, "x"]).select("doc_id", "text")
+    topics, again = language_model.find_topics(docs), language_model.find_topics(docs.repartition(5))
+    assert np.array_equal(topics.centroids, again.centroids)
+    x = np.stack([language_model._profile(t.encode()) for t in [*texts, "", "", "x"]])
+    z = topics.of(x)
+    assert len(np.unique(z)) == language_model.TOPICS
+    for k in range(language_model.TOPICS):
+        assert np.array_equal(topics.centroids[k], np.rint(16 * x[z == k].sum(axis=0, dtype=np.int64) / (z == k).sum()))
+    brute = ((16.0 * x[:, None, :] - topics.centroids) ** 2).sum(axis=2)
+    assert np.array_equal(topics.far(x), brute)
+    few = language_model.find_topics(docs.limit(2))
+    assert few.centroids.shape == topics.centroids.shape and not language_model.find_topics(docs.limit(0)).centroids.any()
+
+
 def test_language_model_is_the_same_for_any_split(spark, tables, monkeypatch):
     """The number of partitions and Arrow's batches leave no trace; several shards in a task, ties of ids with other texts."""
     monkeypatch.setattr(language_model, "SHARD", 1_000)
