@@ -270,9 +270,8 @@ def _reduction(name: str, axis: str | None) -> None:
     @_query(f"{name}_{where[0]}", f'select {where[1]}, {value} "value" from {where[2]} group by all')
     def _(spark, d):
         m = masked_events(spark, d)
-        if name == "prod":  # of small factors, as a logarithm
-            out = reduce(m * 0.01 + 1.001, "prod", axis)
-            return _out(out.withColumn("value", F.log10("value")))
+        if name == "prod":  # as a logarithm: the product itself is beyond the range of doubles on large tables
+            return _out(reduce(m * 0.01 + 1.001, "log10_prod", axis))
         return _out(reduce(m, name, axis))
 
 

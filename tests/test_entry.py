@@ -35,6 +35,25 @@ def test_queries_equal_sql(spark, name):
     assert sorted(map(repr, map(tuple, got.select(*cols).collect()))) == sorted(map(repr, want))
 
 
+def copied_events(folder, copies):
+    """The events again and again, by the same users: pairs grow with the square of the copies."""
+    duckdb.sql(f"copy (select e.* replace (event_id + 1000000 * r.r as event_id) from '{D}/events.parquet' e, range({copies}) r(r)) to '{folder}/events.parquet' (format parquet)")
+
+
+def rows_of_sql(folder, name, cols):
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from read_parquet('{folder}/events.parquet')")
+    return con.execute("select " + ", ".join(f'"{c}"' for c in cols) + f" from ({entry.oracle_sql()[name]})").fetchall()
+
+
+def test_products_beyond_doubles_equal_sql(spark, tmp_path):
+    copied_events(tmp_path, 12)
+    want = rows_of_sql(tmp_path, "prod_all", ["chrom", "value"])
+    assert all(v > 308.3 for _, v in want)  # no double holds these products
+    got = entry.queries()["prod_all"](spark, str(tmp_path)).select("chrom", "value").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_works_without_the_training_data_operators(tmp_path):
     code = f"""
 import sys

@@ -100,6 +100,21 @@ def test_random_matrices(spark, data):
     check_reductions(m, a, d, data.draw(st.lists(st.sampled_from(NAMES), min_size=3, max_size=3)))
 
 
+@pytest.mark.parametrize("fill", [0.0, -1e60, 2.5])
+def test_logarithm_of_products(spark, fill):
+    kw = {"masked": [(0, 1)], "bins": [4], "fill": fill, "default": 1e-200}
+    cells = {(0, 0): 1e300, (0, 1): 7.0, (1, 2): -1e200, (2, 2): 1e250}
+    m, a = make(spark, 7, 3, cells, **kw), build(7, 3, cells, **kw)
+    with np.errstate(divide="ignore"):
+        logs = np.ma.array(np.log10(np.abs(a.filled(1.0))), mask=np.ma.getmaskarray(a))
+    assert np.isclose(reduce(m, "log10_prod").first()["value"], logs.sum())
+    rows = {r["i"]: r["value"] for r in reduce(m, "log10_prod", "row").collect()}
+    assert rows.pop(4) is None
+    assert all(np.isclose(v, logs[i].sum()) for i, v in rows.items())
+    for r in reduce(m, "log10_prod", "diag").collect():
+        assert np.isclose(r["value"], logs.diagonal(r["k"]).sum())
+
+
 def test_documented_values(spark):
     cells = {(i, j): 3 * i + j for i in range(3) for j in range(i, 3)}
     m = make(spark, 3, 2, cells)
