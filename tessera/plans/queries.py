@@ -59,6 +59,12 @@ def _out(df: DataFrame) -> DataFrame:
 _R = "round({0}, 6) + 0.0"
 
 
+def _six(c: Column) -> Column:
+    """round(c, 6) as SQL has it: the whole number next to c * 1e6 over 1e6, which for large c is not always c's nearest such decimal."""
+    x = F.round(c * 1e6, 0) / 1e6
+    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), c).otherwise(x) + 0.0
+
+
 # ---- ingest, sinks, masks ---------------------------------------------------------------------------------------
 
 
@@ -338,7 +344,7 @@ def _group(name: str, names: list[str]) -> None:
             if x in ("left_shift", "right_shift"):
                 right = F.abs(right)
             e = UNARY[x](left) if x in UNARY else BINARY[x](left, right)
-            out.append(e.alias(x) if x in _BOOLEAN else e.cast("long").alias(x) if x in _LONG else (F.round(e.cast("double"), 6) + 0.0).alias(x))
+            out.append(e.alias(x) if x in _BOOLEAN else e.cast("long").alias(x) if x in _LONG else _six(e.cast("double")).alias(x))
         return p.select("chrom", "i", "k", *out)
 
 

@@ -3,9 +3,12 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera.functions.ufuncs import BINARY
 
 ROOT = Path(__file__).resolve().parent.parent
 D = "/root/testdata/sf0.001"
@@ -54,6 +57,26 @@ def test_products_beyond_doubles_equal_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_digits_of_large_numbers_equal_sql(spark):
+    """Power and others leave numbers whose sixth digit is beyond a double's; halves and borders too."""
+    from tessera.plans.queries import _six
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([10.0 ** rng.uniform(-9, 17, 4000) * rng.choice([-1, 1], 4000), [30330344419.970974, 2.4760953182144556e16, 5e-7, -1.5e-6, 1.0000005, 0.0, -0.0, 8e307, 1e303, np.inf, -np.inf, np.nan]])
+    got = [r[0] for r in spark.createDataFrame([(float(v),) for v in x], "v double").coalesce(1).select(_six(F.col("v"))).collect()]
+    con = duckdb.connect()
+    want = [con.execute("select round(?::double, 6) + 0.0", [float(v)]).fetchone()[0] for v in x]
+    assert list(map(repr, got)) == list(map(repr, want))
+
+
+def test_sums_of_large_powers_do_not_overflow(spark):
+    """Where exp(a) + exp(b) is infinite, logaddexp is NumPy's and finite."""
+    a, b = np.array([1616.5, 956.5, -2000.0]), np.array([-6.5, 956.5, -2001.0])
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)], "a double, b double").coalesce(1)
+    got = np.array([tuple(r) for r in df.select(BINARY["logaddexp"](F.col("a"), F.col("b")), BINARY["logaddexp2"](F.col("a"), F.col("b"))).collect()])
+    np.testing.assert_allclose(got, np.column_stack([np.logaddexp(a, b), np.logaddexp2(a, b)]), rtol=1e-15)
+
+
 def test_works_without_the_training_data_operators(tmp_path):
     code = f"""
 import sys
