@@ -66,3 +66,16 @@ def test_stages_on_odd_tables(spark, odd_texts, empty):
         assert out.count() == 0 if empty else out.count() <= 2 * len(rows) + 20, name
         if name != "packing":
             assert out.columns == docs.columns
+
+
+def test_memory_for_texts_is_bounded(spark):
+    """A task holds a row group while it writes and a batch of rows while it reads, both small whatever the table's size."""
+    import pyarrow.parquet as pq
+
+    docs = spark.range(0, 4000, 1, 1).selectExpr("id doc_id", "concat_ws('', transform(sequence(1, 150), x -> sha2(cast(id * 1000 + x as string), 256))) text")
+    out = common.materialise(docs, "test")
+    files = [f.removeprefix("file://") for f in out.inputFiles()]
+    sizes = [m.row_group(k).total_byte_size for m in (pq.ParquetFile(f).metadata for f in files) for k in range(m.num_row_groups)]
+    assert sum(sizes) > 2 * common.ROW_GROUP and max(sizes) < 1.5 * common.ROW_GROUP
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 256
+    assert out.count() == 4000
